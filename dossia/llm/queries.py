@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossia.llm import lookalikes, mixture, spans, split, tokenize
+from dossia.llm import lookalikes, mixture, scans, spans, split, tokenize
 from dossia.session import table
 
 
@@ -24,6 +24,14 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_texts(lookalikes.sources(table(spark, d, "rule_observations"), table(spark, d, "chunks"), table(spark, d, "doc_facts")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise_found(table(spark, d, "ocr_pages"), table(spark, d, "chunks"), table(spark, d, "rule_observations"))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "ocr_pages"), table(spark, d, "chunks"), table(spark, d, "rule_observations"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"))
 
@@ -49,5 +57,5 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_texts, p7_ids, p8_mixture, p8_shares, p9_found, p9_spans, p9_parts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_texts, p6_found, p6_repaired, p7_ids, p8_mixture, p8_shares, p9_found, p9_spans, p9_parts)}
 SQL: dict[str, str] = {}
