@@ -185,13 +185,13 @@ def to_script(word: str, to: str) -> str:
 
 
 def resolve(word: str, common: str = "C") -> str:
-    """A mixed word in the alphabet most of its unambiguous letters have, `common` if they do not tell."""
-    votes = {"C": 0, "L": 0, "G": 0}
+    """A mixed word in the alphabet its unambiguous letters have most, else most of its letters, else `common`."""
+    sure, all_letters = {"C": 0, "L": 0, "G": 0}, {"C": 0, "L": 0, "G": 0}
     for c in word:
-        if (s := script(c)) and not any(c in g for g in _shape_sets()):
-            votes[s] += 1
-    best = max(votes, key=lambda s: (votes[s], s == common, s))
-    return to_script(word, best if votes[best] else common)
+        if s := script(c):
+            all_letters[s] += 1
+            sure[s] += not any(c in g for g in _shape_sets())
+    return to_script(word, max(sure, key=lambda s: (sure[s], all_letters[s], s == common, s)))
 
 
 def _words(batches):
