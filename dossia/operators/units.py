@@ -75,6 +75,10 @@ class QuantityParser:
     _DIGITS = str.maketrans({",": ".", "−": "-", " ": None, "'": None, "’": None})
     _BROKEN = re.compile(r"[-¬‐\u00ad]\s*[\r\n]+\s*")
 
+    _POWER = re.compile(r"([·×*xх]\s*10)([²³])")
+    _KEEP = {"²": "\ue002", "³": "\ue003"}
+    _BACK = {0xE002: "²", 0xE003: "³"}
+
     def __init__(self) -> None:
         u = unit_pattern([s for g in KNOWN_UNITS.values() for s in g])
         n = f"({NUMBER}){EXPONENT}"
@@ -122,7 +126,8 @@ class QuantityParser:
         t = context
         if "\n" in t or "\r" in t:
             t = self._BROKEN.sub("", t)
-        t = re.sub(r"\s+", " ", fold_looks_py(plain_py(t)))
+        t = self._POWER.sub(lambda m: m[1] + self._KEEP[m[2]], plain_py(t))  # folding makes digits of raised 2 and 3
+        t = re.sub(r"\s+", " ", fold_looks_py(t)).translate(self._BACK)
         at = t.find(re.sub(r"\s+", " ", fold_looks_py(plain_py(name)))) if name else -1
         if at >= 0:
             for m in self.before.finditer(t, at):
