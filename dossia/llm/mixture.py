@@ -75,9 +75,14 @@ def plan_mixes(targets: list[tuple[int, str, float, int]], tokens: dict[str, int
         total = min(tokens[s] * repeats * period / w for (s, _, repeats), w in zip(live, weights))
         size = max(1, min(block_tokens, int(total // period)))
         slots = int(total // size)
-        for (s, _, _), w, own in zip(live, weights, pfair_period(weights)):
-            blocks = slots // period * w + sum(1 for x in own if x < slots % period)
-            out.append((mix, s, period, own, blocks, size, tokens[s]))
+        places = pfair_period(weights)
+
+        def blocks(i: int, slots: int) -> int:
+            return slots // period * weights[i] + sum(1 for x in places[i] if x < slots % period)
+
+        while any(blocks(i, slots) * size > tokens[s] * repeats for i, (s, _, repeats) in enumerate(live)):
+            slots -= 1  # a block begun early must not need one pass too many
+        out += [(mix, s, period, places[i], blocks(i, slots), size, tokens[s]) for i, (s, _, _) in enumerate(live)]
     return out
 
 
