@@ -177,7 +177,7 @@ def shared_pairs(windows: DataFrame) -> DataFrame:
 
 def shared_spans(windows: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """doc_id, start, length: the maximal stretches of each record that windows of other records cover."""
-    w = windows.select("doc", "start").distinct()
+    w = windows.select("doc", "start")
     order = Window.partitionBy("doc").orderBy("start")
     gap = F.col("start") > F.coalesce(F.lag("start").over(order), F.lit(-(1 << 30))) + min_span
     runs = w.withColumn("run", F.sum(gap.cast("int")).over(order))
