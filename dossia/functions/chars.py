@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 FULL_WIDTH_ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 # Blanks other than the plain one; line ends and form feeds are no blanks here.
-BLANKS = "\t  " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "  　"
+BLANKS = "\t\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u202f\u205f\u3000"
 # Characters without ink.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎" + "".join(chr(c) for c in [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070)]) + "﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e" + "".join(chr(c) for c in [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070)]) + "\ufeff"
 
 # Letters of Latin and Greek that look like a Cyrillic letter, in pairs.
 LATIN_LOOKS = "ABCEHKMOPTXYaceopxyikm"
