@@ -124,12 +124,12 @@ def _skeleton_map() -> dict[int, str | None]:
 
 
 _SIMPLE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {ord(b): " " for b in BLANKS} | {ord(i): None for i in INVISIBLE}
-_MARKS = "̀-ͯ҃-҉᪰-᫿᷀-᷿⃐-⃿︠-︯"
+_MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 _ODD = re.compile(f"[{re.escape(''.join(chr(c) for c in range(0xFF01, 0xFF5F)) + BLANKS + INVISIBLE)}{_MARKS}]")
 _WORD = re.compile(r"[^\W\d_]+")
-_CYR, _LAT, _GRK = "Ѐ-ԯ", "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ͳͶͷͻ-ͽͿΆΈ-Ͽἀ-῿"
+_CYR, _LAT, _GRK = "Ѐ-ԯ", "A-Za-z\u00aa\u00baÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ͳͶͷͻ-ͽͿΆΈ-Ͽἀ-\u1fff"
 _MIXED = re.compile(f"[{_CYR}](?=[{_LAT}{_GRK}])|[{_LAT}](?=[{_CYR}{_GRK}])|[{_GRK}](?=[{_CYR}{_LAT}])")
-_FULL = re.compile("[！-｠￠-￦]")
+_FULL = re.compile("[\uff01-\uff60\uffe0-\uffe6]")
 _BLANK = re.compile(f"[{re.escape(BLANKS)}]")
 _UNSEEN = re.compile(f"[{re.escape(INVISIBLE)}]")
 _MARK = re.compile(f"[{_MARKS}]")
