@@ -43,6 +43,18 @@ def _unquote(value):
     return value
 
 
+def _has_objects(value) -> bool:
+    """Whether a list holds objects, also in lists inside it."""
+    todo = [value]
+    while todo:
+        for x in todo.pop():
+            if isinstance(x, dict):
+                return True
+            if isinstance(x, list):
+                todo.append(x)
+    return False
+
+
 def _edges(batches):
     import pyarrow as pa
 
@@ -60,7 +72,7 @@ def _edges(batches):
                             stack.append((name, value))
                         continue
                     many = isinstance(value, list)
-                    objects = isinstance(value, dict) or (many and any(isinstance(x, dict) for x in value))
+                    objects = isinstance(value, dict) or (many and _has_objects(value))
                     kind = "object" if objects else "value"
                     c = seen.setdefault((name, key, kind), [0, 0])
                     c[0] += 1
@@ -141,7 +153,7 @@ def _shred(table: dict[str, str]):
                     deeper = []
                     for k, v in node.items():
                         v = _unquote(v)
-                        if isinstance(v, dict) or isinstance(v, list) and any(isinstance(x, dict) for x in v):
+                        if isinstance(v, dict) or isinstance(v, list) and _has_objects(v):
                             deeper.append((v, k, holder, row, f"{path}{k}."))
                         else:
                             row[0].append(path + k)

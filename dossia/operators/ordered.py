@@ -22,6 +22,10 @@ def lag_by(df: DataFrame, keys: list[str], order: list[str], values: dict[str, s
     packed = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate([*order, *values.values()])], *[F.col(c).alias(f"v_{k}") for k, c in values.items()])
     lasts = ranged.groupBy("_range", *keys).agg(F.max(packed).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_range")
-    before = lasts.withColumn("_before", F.lag("_last").over(across)).filter(F.col("_before").isNotNull()).select("_range", *keys, "_before")
-    joined = rows.join(before, ["_range", *keys], "left")
+    before = lasts.withColumn("_before", F.lag("_last").over(across)).filter(F.col("_before").isNotNull())
+    before = before.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_before")
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = rows.join(before, same, "left")
     return joined.select(*df.columns, *[F.when(F.col(f"_lag_{k}").isNotNull(), F.col(f"_lag_{k}.v")).otherwise(F.col(f"_before.v_{k}")).alias(k) for k in values])

@@ -61,7 +61,9 @@ def test_unified_names_follow_renames(spark):
 
 def test_lag_of_a_hot_key(spark):
     rows = [("hot", i, i * 10) for i in range(500)] + [(f"k{i}", i, i) for i in range(50)]
+    rows += [(None, i, i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, o long, v long").repartition(7)
     got = {(r.k, r.o): r.before for r in lag_by(df, ["k"], ["o"], {"before": "v"}).collect()}
     assert all(got["hot", i] == (None if i == 0 else (i - 1) * 10) for i in range(500))
+    assert all(got[None, i] == (None if i == 0 else i - 1) for i in range(300))
     assert all(got[f"k{i}", i] is None for i in range(50))

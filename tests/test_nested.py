@@ -24,10 +24,11 @@ def test_shapes(spark):
         (6, None),
         (7, ""),
         (8, "null"),
+        (10, json.dumps({"attempts": [[A], [[A]]]})),
         (9, json.dumps([{"attempts": []}, 5])),
         (1, json.dumps({"attempts": [A, {"code": None, "found": True, "pages_scanned": 1}, {"code": "B", "found": False, "pages_scanned": 9}, {"code": "B", "found": "true", "pages_scanned": 0}]})),
     ]
-    assert cases(spark, rows) == [(1, 0, -1, "A-1"), (2, 1, 0, "A-1"), (2, 2, 0, "D"), (2, 3, 2, "E"), (2, 4, -1, "A-1"), (3, 0, -1, "A-1"), (4, 0, -1, "A-1")]
+    assert cases(spark, rows) == [(1, 0, -1, "A-1"), (2, 1, 0, "A-1"), (2, 2, 0, "D"), (2, 3, 2, "E"), (2, 4, -1, "A-1"), (3, 0, -1, "A-1"), (4, 0, -1, "A-1"), (10, 0, -1, "A-1"), (10, 1, -1, "A-1")]
 
 
 def test_empty_and_deep(spark):
