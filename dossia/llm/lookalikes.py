@@ -128,13 +128,23 @@ _MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe2
 _ODD = re.compile(f"[{re.escape(''.join(chr(c) for c in range(0xFF01, 0xFF5F)) + BLANKS + INVISIBLE)}{_MARKS}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _CYR, _LAT, _GRK = "Ѐ-ԯ", "A-Za-z\u00aa\u00baÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ͳͶͷͻ-ͽͿΆΈ-Ͽἀ-\u1fff"
-_MIXED = re.compile(f"[{_CYR}](?=[{_LAT}{_GRK}])|[{_LAT}](?=[{_CYR}{_GRK}])|[{_GRK}](?=[{_CYR}{_LAT}])")
+_FOREIGN_RUN = re.compile(f"[{_LAT}]+|[{_GRK}]+")
 _FULL = re.compile("[\uff01-\uff60\uffe0-\uffe6]")
 _BLANK = re.compile(f"[{re.escape(BLANKS)}]")
 _UNSEEN = re.compile(f"[{re.escape(INVISIBLE)}]")
 _MARK = re.compile(f"[{_MARKS}]")
 
 
+def mixed(text: str) -> bool:
+    """Whether letters of two alphabets stand side by side (every such place borders a run of Latin or Greek)."""
+    n = len(text)
+    for m in _FOREIGN_RUN.finditer(text):
+        a, b = m.span()
+        if (b < n and script(text[b])) or (a and script(text[a - 1])):
+            return True
+    return False
+
+
 def simplify(text: str) -> str:
     """Plain forms, plain blanks, no invisible characters, composed letters."""
     if _ODD.search(text):
@@ -149,16 +159,12 @@ def skeleton(word: str) -> str:
     return simplify(word).translate(_skeleton_map())
 
 
+_MARK_RUN = re.compile(f"[^{_MARKS}][{_MARKS}]+")
+
+
 def apart(text: str) -> bool:
     """Whether some mark stands apart from a letter it could be one character with."""
-    for m in _MARK.finditer(text):
-        i = m.start()
-        j = i
-        while j > 0 and _MARK.match(text, j):
-            j -= 1
-        if len(unicodedata.normalize("NFC", text[j] + text[i])) == 1:
-            return True
-    return False
+    return any(len(unicodedata.normalize("NFC", m[0])) < len(m[0]) for m in _MARK_RUN.finditer(text))
 
 
 def faults(text: str) -> list[str]:
@@ -171,7 +177,7 @@ def faults(text: str) -> list[str]:
             out.append("invisible")
         if _MARK.search(text) and apart(text):
             out.append("accent")
-        if _MIXED.search(text):
+        if mixed(text):
             out.append("alphabets")
     if _BLANK.search(text):
         out.append("blank")

@@ -108,7 +108,7 @@ def source_starts(sizes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def mixture(docs: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, max_targets: int = 10_000) -> DataFrame:
     """mix_id, slot, start, source, doc_id, repeat_no, n_tokens: order by slot, start for the stream of a mix."""
     spark = docs.sparkSession
-    want = targets.dropDuplicates(["mix_id", "source"]).select("mix_id", "source", "target_share", "max_repeats").limit(max_targets + 1).collect()
+    want = targets.filter("mix_id is not null and source is not null").dropDuplicates(["mix_id", "source"]).select("mix_id", "source", "target_share", "max_repeats").limit(max_targets + 1).collect()
     if len(want) > max_targets:
         raise ValueError("too many targets to plan on the driver")
     named = sorted({r.source for r in want if r.source is not None})

@@ -16,7 +16,7 @@ blocks by hash:
 Work follows the length of the corpus and of what is shared in it; a parse of every
 record against every block would follow their product.
 
-Defined results: null, empty and shorter texts share nothing; lengths are in code
+Defined results: null, empty and shorter texts and rows without an id share nothing; lengths are in code
 points; repeated rows of one id are one record; a span shared only within one record
 does not count.  A group of n records that share one span yields its n(n-1)/2 pairs in
 shared_pairs, which is the result asked for; shared_spans has one row per record and span.
@@ -157,7 +157,7 @@ def _windows(min_span: int, gram: int):
 def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, gram: int = GRAM) -> DataFrame:
     """h1, h2, doc, start, before: the windows of min_span characters that more than one record has; before is the character before them, -1 at a text's begin."""
     n = parallelism(docs.sparkSession)
-    long = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter(F.length("text") >= min_span)
+    long = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter((F.length("text") >= min_span) & F.col("doc").isNotNull())
     points = long.mapInArrow(_points(min_span, gram), "hash long, doc long, pos int").repartition(n, "hash")
     many = points.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("hash")
     hits = materialize(points.join(many, "hash", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("points")))
@@ -188,7 +188,7 @@ def shared_spans(windows: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 def shared_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, n_spans, shared_chars, shared_part: one row for every record, also those that share nothing."""
     spans = shared_spans(shared_windows(docs, key, text)).groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("length").alias("shared_chars"))
-    all_docs = docs.groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))
+    all_docs = docs.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.length(text), F.lit(0))).alias("n_chars"))
     return all_docs.join(spans, "doc_id", "left").select(
         "doc_id", "n_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.when(F.col("n_chars") > 0, F.coalesce("shared_chars", F.lit(0)) / F.col("n_chars")).otherwise(0.0).alias("shared_part")
     )

@@ -85,6 +85,7 @@ def test_copies_runs_and_repeated_rows(spark):
 def test_parts_have_every_record(spark):
     texts = corpus(5, 12) | {900: None, 901: ""}
     df, _ = run(spark, texts)
+    df = df.unionByName(df.limit(2).selectExpr("cast(null as long) doc_id", "text", "doc", "start"))
     got = {r.doc_id: r for r in S.shared_parts(df).collect()}
     want = brute_cover(texts)
     assert set(got) == set(texts)
