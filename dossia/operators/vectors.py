@@ -26,7 +26,7 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, k: int, vec: str = "emb
     broadcast of checked size (max_queries rows).
     """
     spark = base.sparkSession
-    q = queries.select(F.col(key).alias("query_id"), vec).limit(max_queries + 1).collect()
+    q = queries.filter(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("query_id"), vec).limit(max_queries + 1).collect()
     if len(q) > max_queries:
         raise ValueError("too many queries for one matrix; pass them in parts")
     ids = np.array([r.query_id for r in q], dtype=np.int64)
@@ -37,12 +37,12 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, k: int, vec: str = "emb
     def run(batches):
         qid, qm = shared.value
         for pdf in batches:
-            pdf = pdf[pdf[vec].notna()]
+            pdf = pdf[pdf[vec].notna() & pdf[key].notna()]
             if not len(pdf) or not len(qid):
                 continue
             b = np.stack(pdf[vec].to_numpy()).astype(np.float64)
             b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-            keys = pdf[key].to_numpy()
+            keys = pdf[key].to_numpy(dtype=np.int64)
             for lo in range(0, len(qid), 512):
                 s = np.round(qm[lo : lo + 512] @ b.T, 9)
                 s[qid[lo : lo + 512, None] == keys[None, :]] = -2.0  # not its own neighbour

@@ -225,7 +225,8 @@ select vec_id, round(0.32 * s + 0.62 * (case when vec_id % 3 = 0 then 1 else 0 e
 def num12_hybrid_score(spark, d):
     """A vector and a lexical signal in one score, every row against one query vector."""
     e = table(spark, d, "embeddings")
-    q = F.array(*[F.lit(float(x)) for x in e.filter("vec_id = 0").first().embedding])
+    one = e.filter("vec_id = 0").first()
+    q = F.array(*[F.lit(float(x)) for x in one.embedding]) if one else F.lit(None).cast("array<double>")
     s = vectors.cosine(F.col("embedding"), q)
     lexical = F.when(F.col("vec_id") % 3 == 0, 1.0).otherwise(0.0)
     return e.filter("vec_id <> 0").select("vec_id", F.round(vectors.hybrid_score(s, lexical, F.lit(0.0), F.lit(0.0)), 5).alias("score"))
