@@ -58,7 +58,10 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, k: int, vec: str = "emb
 
 
 def leader_clusters(df: DataFrame, group: str, key: str, vec: str, threshold: float) -> DataFrame:
-    """group, key, cluster: vectors in order of key join the nearest centre of their group at or above the threshold, else lead a new cluster."""
+    """group, key, cluster: vectors in order of key join the nearest centre of their group at or above the threshold, else lead a new cluster.
+
+    Groups must be small by their key (blocks); null vectors are in no cluster.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -80,7 +83,7 @@ def leader_clusters(df: DataFrame, group: str, key: str, vec: str, threshold: fl
         return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": labels})
 
     kinds = dict(df.dtypes)
-    return df.select(group, key, vec).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    return df.select(group, key, vec).filter(F.col(vec).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
 
 
 def hybrid_score(semantic: Column, lexical: Column, phrase: Column, extra: Column) -> Column:
