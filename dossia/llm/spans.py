@@ -7,8 +7,9 @@ blocks by hash:
 * parse points: of every window of WINDOW starts the least hash of GRAM characters is
   kept, so a span of MIN_SPAN = GRAM + WINDOW - 1 characters has a parse point in both
   records, whatever stands around it;
-* an index block keeps the parse points that more than one record has (one shuffle of
-  hashes; hot hashes are only counted, never gathered);
+* an index block keeps the parse points that more than one record has: hashes are
+  counted with partial sums, then joined; both shuffles are the planner's, so that
+  adaptive execution can split a hot hash;
 * from each such point the factor is checked at its borders: every MIN_SPAN-character
   window over the point is hashed twice over (128 bits) and held against those of the
   other records; a factor begins where the window before is not shared.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossia.session import materialize, parallelism
+from dossia.session import materialize
 
 MIN_SPAN = 200
 GRAM = 120
@@ -156,9 +157,8 @@ def _windows(min_span: int, gram: int):
 
 def shared_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, gram: int = GRAM) -> DataFrame:
     """h1, h2, doc, start, before: the windows of min_span characters that more than one record has; before is the character before them, -1 at a text's begin."""
-    n = parallelism(docs.sparkSession)
     long = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter((F.length("text") >= min_span) & F.col("doc").isNotNull())
-    points = long.mapInArrow(_points(min_span, gram), "hash long, doc long, pos int").repartition(n, "hash")
+    points = long.mapInArrow(_points(min_span, gram), "hash long, doc long, pos int")
     many = points.groupBy("hash").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("hash")
     hits = materialize(points.join(many, "hash", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("points")))
     windows = long.join(hits, "doc").select("doc", "text", "points").mapInArrow(_windows(min_span, gram), "h1 long, h2 long, doc long, start int, before int")
