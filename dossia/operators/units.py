@@ -69,7 +69,10 @@ def unit_pattern(spellings: list[str]) -> str:
 class QuantityParser:
     """Reads quantities from short texts and the units contexts give to them."""
 
-    _WHOLE = re.compile(NUMBER + EXPONENT)
+    # A number begins where no letter or digit stands directly before it, else the digit of a unit ('м3 5') would be read;
+    # only a text without such a number is read from its first digit.
+    _WHOLE = re.compile(rf"(?<![^\W_])(?<!\d[.,]){NUMBER}{EXPONENT}")
+    _GLUED = re.compile(NUMBER + EXPONENT)
     _FILLER = re.compile(r"[\[\]():=≈~<>≤≥±]|" + "|".join(rf"(?<!\w){fold_looks_py(q)}(?!\w)" for q in QUALIFIERS))
     _RAISED = str.maketrans(SUPERSCRIPTS, SUPERSCRIPT_ASCII)
     _DIGITS = str.maketrans({",": ".", "−": "-", " ": None, "'": None, "’": None})
@@ -100,8 +103,8 @@ class QuantityParser:
         if text is None:
             return None, None
         t = text if text.isascii() else plain_py(text)
-        m = self._WHOLE.search(t)
-        if m is None:
+        m = self._WHOLE.search(t) or self._GLUED.search(t)
+        if m is None or m.start() and self._bare(t):
             return None, None
         if m.end() - m.start() == len(t):
             return self._value(m[0] if m[1] is None and m[2] is None else self._mantissa(m), m[1], m[2]), ""
@@ -113,6 +116,10 @@ class QuantityParser:
                 self.rests[rest] = key
         return self._value(self._mantissa(m), m[1], m[2]), key
 
+    def _bare(self, t: str) -> bool:
+        """Whether a text whose number is not at its start is only the name of a unit, as 'м3'."""
+        return t[-1:].isdecimal() and len(t) < 16 and unit_key(t) in self.keys
+
     @staticmethod
     def _mantissa(m: re.Match) -> str:
         if m[1] is not None:

@@ -31,6 +31,26 @@ def test_quantity(text, number, unit):
     assert P.quantity(text) == (number, unit)
 
 
+@pytest.mark.parametrize(
+    "text, number, unit",
+    [
+        ("(м3) 10044", 10044.0, "м3"),
+        ("м2: 80,11", 80.11, "м2"),
+        ("м3/ч: 46,51", 46.51, "м3/ч"),
+        ("тыс. м3/ч: 1,904", 1904.0 / 1000, "тысм3/ч"),
+        ("м2 100", 100.0, "м2"),
+        ("(м2) -1,565·10³", -1565.0, "м2"),
+        ("кгс/см2: 2.904", 2.904, "кгс/см2"),
+        ("7,5 м3", 7.5, "м3"),
+        ("м²5", 5.0, "м2"),
+        ("шт5", 5.0, "шт"),
+        ("м3", None, None),
+    ],
+)
+def test_units_that_end_in_a_digit_before_the_number(text, number, unit):
+    assert P.quantity(text) == (number, unit)
+
+
 def test_words_with_numbers_are_no_units():
     assert P.quantity("см. лист 90")[1] not in P.keys
     assert P.quantity("см. п. 9")[1] not in P.keys
