@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from collections import Counter
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -157,24 +158,29 @@ def _read_batches(batches):
         columns: list[list] = [[] for _ in range(8)]
         for oid, code, target, name, value, norm, context in zip(*(c.to_pylist() for c in b.columns)):
             number, own = p.quantity(value)
-            if number is None or (own and own not in p.keys):
+            if number is None:
                 continue
             unit = own or p.context(context, name, number) or target
             n, nk = p.quantity(norm)
-            nk = target if nk == "" else nk if nk in p.keys else None
+            nk = nk or (target if n is not None else None)
             for c, x in zip(columns, (oid, code, target, number, unit, bool(own), n if nk else None, nk)):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.float64(), pa.string()))], names=["observation_id", "parameter_code", "target_key", "number", "unit_key", "own", "norm_number", "norm_key"])
 
 
-def estimate_links(links: DataFrame) -> list[tuple[str, str, int, float, float, float]]:
+def estimate_links(links: DataFrame, min_links: int = 3) -> list[tuple[str, str, int, float, float, float]]:
     """Robust scale and offset of each pair of sources.
 
     links: source_a, source_b string; a, b double - one entity read in both.  The
     scale is ten to the median log ratio; the offset the median of what a line
-    with the quantiles' slope leaves.  Result: (source_a, source_b, n, scale,
-    line_scale, line_offset) per pair, at most the vocabulary squared.
+    with the quantiles' slope leaves.  A pair with a spelling outside the table
+    must have min_links links, half of which agree within 1 % with the scale, or
+    else with the line; the offset of the former is 0.  Result: (source_a,
+    source_b, n, scale, line_scale, line_offset) per pair, at most the vocabulary
+    squared.
     """
+    known = list(known_units())
+    tabled = F.col("source_a").isin(known) & F.col("source_b").isin(known)
     ok = links.filter((F.col("a") > 0) & (F.col("b") > 0))
     qs = [0.1, 0.25, 0.5, 0.75, 0.9]
     g = ok.groupBy("source_a", "source_b").agg(
@@ -184,12 +190,27 @@ def estimate_links(links: DataFrame) -> list[tuple[str, str, int, float, float,
         F.percentile_approx("b", qs, 1000).alias("qb"),
     )
     out = []
-    for r in g.collect():
+    for r in g.filter(tabled | (F.col("n") >= min_links)).collect():
         slopes = sorted((r.qb[j] - r.qb[i]) / (r.qa[j] - r.qa[i]) for i in range(len(qs)) for j in range(i) if r.qa[i] != r.qa[j])
         line = slopes[len(slopes) // 2] if slopes else 10**r.log_scale
         rest = sorted(y - line * x for x, y in zip(r.qa, r.qb))
         out.append((r.source_a, r.source_b, r.n, 10**r.log_scale, line, rest[len(rest) // 2]))
-    return out
+    unsure = [e for e in out if not (e[0] in known and e[1] in known)]
+    if not unsure:
+        return out
+    e = links.sparkSession.createDataFrame(unsure, "source_a string, source_b string, n long, scale double, line double, rest double")
+    fits = lambda y: F.avg((F.abs(F.col("b") - y) <= 0.01 * F.col("b")).cast("double"))
+    kept = ok.join(F.broadcast(e), ["source_a", "source_b"]).groupBy("source_a", "source_b").agg(
+        fits(F.col("scale") * F.col("a")).alias("by_scale"), fits(F.col("line") * F.col("a") + F.col("rest")).alias("by_line")
+    )
+    share = {(r.source_a, r.source_b): (r.by_scale, r.by_line) for r in kept.filter("by_scale >= 0.5 or by_line >= 0.5").collect()}
+    sure = []
+    for a, b, n, scale, line, rest in out:
+        if a in known and b in known:
+            sure.append((a, b, n, scale, line, rest))
+        elif (a, b) in share:
+            sure.append((a, b, n, scale, line, 0.0 if share[a, b][0] >= 0.5 else rest))
+    return sure
 
 
 def snap(scale: float, candidates: list[float], tolerance: float = 0.01) -> float | None:
@@ -198,17 +219,25 @@ def snap(scale: float, candidates: list[float], tolerance: float = 0.01) -> floa
     return best if abs(math.log(scale / best)) <= tolerance else None
 
 
-def conversion_graph(estimates: list[tuple[str, str, int, float, float, float]], min_links: int = 3) -> dict[str, list[tuple[str, float, int, str]]]:
-    """Edges source -> (source, factor, links, basis) from snapped estimates; units of one known dimension that no link joins get the known factor."""
+Edge = tuple[str, float, float, int, str]
+
+
+def conversion_graph(estimates: list[tuple[str, str, int, float, float, float]], min_links: int = 3) -> dict[str, list[Edge]]:
+    """Edges source -> (source, factor, offset, links, basis) from snapped estimates; units of one known dimension that no link joins get the known factor.
+
+    Spellings outside the table that links join are of one dimension, the one with nine tenths of their links to the
+    table; else (words that are no unit) they are left out.
+    """
     known = known_units()
     factors = sorted({f / g for group in KNOWN_UNITS.values() for f in group.values() for g in group.values()} | {10.0**k for k in range(-9, 10)})
-    graph: dict[str, list[tuple[str, float, int, str]]] = {}
+    graph: dict[str, list[Edge]] = {}
 
-    def edge(a: str, b: str, f: float, n: int, basis: str) -> None:
-        graph.setdefault(a, []).append((b, f, n, basis))
-        graph.setdefault(b, []).append((a, 1 / f, n, basis))
+    def edge(a: str, b: str, f: float, n: int, basis: str, offset: float = 0.0) -> None:
+        graph.setdefault(a, []).append((b, f, offset, n, basis))
+        graph.setdefault(b, []).append((a, 1 / f, -offset / f, n, basis))
 
-    for a, b, n, scale, _, _ in estimates:
+    free: list[tuple[str, str, int, float, float, float]] = []
+    for a, b, n, scale, line, offset in estimates:
         if a == b or n < min_links or not scale > 0:
             continue
         if a in known and b in known:
@@ -216,9 +245,31 @@ def conversion_graph(estimates: list[tuple[str, str, int, float, float, float]],
                 f = known[a][1] / known[b][1]
                 if abs(math.log(scale / f)) <= 0.01:
                     edge(a, b, f, n, "snapped")
+        elif not offset or line > 0:
+            free.append((a, b, n, scale, line, offset))
+    head: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for a, b, *_ in free:
+        if a not in known and b not in known:
+            head[root(a)] = root(b)
+    votes: dict[str, Counter[str]] = {}
+    for a, b, n, *_ in free:
+        if (a in known) != (b in known):
+            votes.setdefault(root(b if a in known else a), Counter())[known[a if a in known else b][0]] += n
+    for a, b, n, scale, line, offset in free:
+        count = votes.get(root(b if a in known else a))
+        if not count:
             continue
-        f = snap(scale, factors)
-        edge(a, b, f if f else scale, n, "snapped" if f else "estimated")
+        (dim, most), *_ = count.most_common(1)
+        if most < 0.9 * sum(count.values()) or any(x in known and known[x][0] != dim for x in (a, b)):
+            continue
+        f = None if offset else snap(scale, factors)
+        edge(a, b, f or (line if offset else scale), n, "snapped" if f else "estimated", offset)
     for key, (dim, f) in known.items():
         base = unit_key(next(iter(KNOWN_UNITS[dim])))
         if key != base:
@@ -226,69 +277,89 @@ def conversion_graph(estimates: list[tuple[str, str, int, float, float, float]],
     return graph
 
 
-def propagate(graph: dict[str, list[tuple[str, float, int, str]]], target: str) -> dict[str, tuple[float, str]]:
-    """Factor from every source the graph joins to target, over the path with the best supported edges."""
+def propagate(graph: dict[str, list[Edge]], target: str) -> dict[str, tuple[float, str, float]]:
+    """(factor, basis, offset) from every source the graph joins to target, over the path with the best supported edges."""
     known = known_units()
-    best: dict[str, tuple[float, str]] = {}
-    queue: list[tuple[float, str, float, str]] = [(0.0, target, 1.0, "same")]
+    best: dict[str, tuple[float, str, float]] = {}
+    queue: list[tuple[float, str, float, str, float]] = [(0.0, target, 1.0, "same", 0.0)]
     while queue:
-        cost, at, factor, basis = heapq.heappop(queue)
+        cost, at, factor, basis, offset = heapq.heappop(queue)
         if at in best:
             continue
         if at in known and target in known:  # no rounding along the path
-            factor = known[at][1] / known[target][1]
-        best[at] = (factor, basis)
-        for to, f, n, kind in graph.get(at, []):
+            factor, offset = known[at][1] / known[target][1], 0.0
+        best[at] = (factor, basis, offset)
+        for to, f, o, n, kind in graph.get(at, []):
             if to not in best:
-                heapq.heappush(queue, (cost + 1.0 / (1 + math.log1p(n)) + (2.0 if kind == "known" else 0.0), to, factor / f, kind if at == target else "propagated"))
+                # at = (to - o) / f, and target = factor * at + offset
+                heapq.heappush(queue, (cost + 1.0 / (1 + math.log1p(n)) + (2.0 if kind == "known" else 0.0), to, factor / f, kind if at == target else "propagated", offset - factor * o / f))
     return best
 
 
-def conversion_map(graph: dict[str, list[tuple[str, float, int, str]]], targets: list[str]) -> dict[str, float]:
-    """'from>to' -> factor for every target; bounded by units times targets."""
-    return {f"{a}>{t}": f for t in targets for a, (f, _) in propagate(graph, t).items()}
+def conversion_map(graph: dict[str, list[Edge]], targets: list[str]) -> dict[str, tuple[float, float]]:
+    """'from>to' -> factor, offset for every target; bounded by units times targets."""
+    return {f"{a}>{t}": (f, o) for t in targets for a, (f, _, o) in propagate(graph, t).items()}
 
 
-def lookup(pairs: dict[str, float], a: Column, b: Column) -> Column:
-    if not pairs:
+def lookup(values: dict[str, float], a: Column, b: Column) -> Column:
+    if not values:
         return F.lit(None).cast("double")
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in pairs.items()))[F.concat(a, F.lit(">"), b)]
+    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(float(v))) for k, v in values.items()))[F.concat(a, F.lit(">"), b)]
 
 
-def readings(observations: DataFrame, params: DataFrame) -> DataFrame:
-    """The observations that state a quantity: number with its unit (of value, else context, else parameter) and the normalised value with its.
+def convert(pairs: dict[str, tuple[float, float]], x: Column, a: Column, b: Column) -> Column:
+    """x in unit a as a number in unit b; null where no conversion is known."""
+    y = x * lookup({k: f for k, (f, _) in pairs.items()}, a, b)
+    moved = {k: o for k, (_, o) in pairs.items() if o}
+    return y + F.coalesce(lookup(moved, a, b), F.lit(0.0)) if moved else y
+
+
+def sources(observations: DataFrame, params: DataFrame) -> DataFrame:
+    """The observations with a number: its unit (of value, else context, else parameter) in whatever spelling, and the normalised value with its.
 
     The texts are read once in an Arrow map over the scan (no shuffle): the same rules as JVM regular expressions took four times the CPU.
     """
-    p = params.select(F.col("code").alias("_code"), unit_key_col(F.coalesce("unit", F.lit(""))).alias("target_key"), F.col("parameter_name").alias("_name")).dropDuplicates(["_code"]).filter(F.col("target_key").isin(list(known_units())))
+    p = params.select(F.col("code").alias("_code"), unit_key_col(F.coalesce("unit", F.lit(""))).alias("target_key"), F.col("parameter_name").alias("_name")).dropDuplicates(["_code"]).filter("target_key <> ''")
     j = observations.join(small(p), F.col("parameter_code") == F.col("_code"))
     j = j.select("observation_id", "parameter_code", "target_key", "_name", "value", "normalized_value", F.when(F.col("value").isNotNull(), F.col("context")).alias("context"))
     return j.filter(F.col("value").isNotNull()).mapInArrow(_read_batches, READING)
 
 
+def readings(observations: DataFrame, params: DataFrame) -> DataFrame:
+    """The sources whose unit and whose parameter's unit are in the table."""
+    known = list(known_units())
+    return sources(observations, params.filter(unit_key_col("unit").isin(known))).filter(F.col("unit_key").isin(known))
+
+
 def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """Broadcast df if it has at most `limit` rows, else leave the join to the planner."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def learn_conversions(read: DataFrame, targets: list[str]) -> dict[str, float]:
-    """Links of the readings (value against normalised value) -> estimates -> graph -> factors to the targets."""
+def learn_conversions(read: DataFrame, targets: list[str]) -> dict[str, tuple[float, float]]:
+    """Links of the readings (value against normalised value) -> estimates -> graph -> conversions to those targets that are in the table or joined to it."""
     links = read.filter(F.col("own") & F.col("norm_key").isNotNull()).select(F.col("unit_key").alias("source_a"), F.col("norm_key").alias("source_b"), F.col("number").alias("a"), F.col("norm_number").alias("b"))
-    return conversion_map(conversion_graph(estimate_links(links)), targets)
+    graph, known = conversion_graph(estimate_links(links)), known_units()
+    return conversion_map(graph, [t for t in targets if t in known or t in graph])
+
 
+def to_parameter_units(observations: DataFrame, params: DataFrame) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """observation_id, parameter_code, unit, value_std, norm_std (both in the unit of the parameter); and the conversions used.
 
-def to_parameter_units(observations: DataFrame, params: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    """observation_id, parameter_code, unit, value_std, norm_std (both in the unit of the parameter); and the conversions used."""
+    Spellings outside the table that no link joins to it are no units: what they stand with states no quantity.
+    """
     targets = [r[0] for r in params.select(unit_key_col(F.coalesce("unit", F.lit("")))).distinct().collect()]
-    read = materialize(readings(observations, params))
-    pairs = learn_conversions(read, [t for t in targets if t in known_units()])
-    out = read.select(
+    read = materialize(sources(observations, params))
+    pairs = learn_conversions(read, [t for t in targets if t])
+    units = {x for k in pairs for x in k.split(">")} | set(known_units())
+    measured = {k.split(">")[1] for k in pairs}
+    out = read.filter(F.col("target_key").isin(sorted(measured)) & F.col("unit_key").isin(sorted(units))).select(
         "observation_id",
         "parameter_code",
         F.col("target_key").alias("unit"),
         F.col("unit_key").alias("unit_read"),
-        (F.col("number") * lookup(pairs, F.col("unit_key"), F.col("target_key"))).alias("value_std"),
-        (F.col("norm_number") * lookup(pairs, F.col("norm_key"), F.col("target_key"))).alias("norm_std"),
+        convert(pairs, F.col("number"), F.col("unit_key"), F.col("target_key")).alias("value_std"),
+        convert(pairs, F.col("norm_number"), F.col("norm_key"), F.col("target_key")).alias("norm_std"),
     )
     return out, pairs
 
@@ -302,7 +373,7 @@ def unit_findings(observations: DataFrame, params: DataFrame, rules: DataFrame)
     std, pairs = to_parameter_units(observations, params)
     r = rules.filter(F.col("kind") == "ABS_THRESHOLD").select(F.col("code").alias("_rcode"), "op", "threshold", unit_key_col("threshold_unit").alias("_tkey")).dropDuplicates()
     j = std.join(small(r), std.parameter_code == r._rcode, "left")
-    limit = F.col("threshold") * lookup(pairs, F.coalesce(F.nullif(F.col("_tkey"), F.lit("")), F.col("unit")), F.col("unit"))
+    limit = convert(pairs, F.col("threshold"), F.coalesce(F.nullif(F.col("_tkey"), F.lit("")), F.col("unit")), F.col("unit"))
     v = F.col("value_std")
     same = F.abs(v - limit) <= 1e-9 * F.greatest(F.abs(v), F.abs(limit))
     holds = (

@@ -128,6 +128,26 @@ def test_found(spark):
     assert got == {(1, "threshold"), (2, "normalized"), (3, "threshold"), (4, "normalized"), (10, "threshold")}
 
 
+def test_spellings_outside_the_table_are_converted_by_their_links(spark):
+    par = [("A", "мм", "Ширина"), ("B", "м3", "Объём"), ("S", "сажень", "Глубина"), ("K", "класс", "Класс")]
+    rul = [("A", "ABS_THRESHOLD", ">=", 1.0, "м")]
+    obs = [(i, "A", f"{i} дюйм", str(25.4 * i), None, None) for i in range(1, 31)]  # scale
+    obs += [(50, "A", "50 дюйм", "50", None, None)]  # normalized, and over a metre
+    obs += [(100 + i, "A", f"{i} отметка", str(2 * i + 300), None, None) for i in range(10, 30)]  # scale and offset
+    obs += [(140, "A", "500 отметка", "500", None, None)]
+    obs += [(200 + i, c, f"см. лист {i}", str(7 * i * i % 90), None, None) for i in range(1, 40) for c in "AB"]  # no unit: nothing agrees
+    obs += [(300 + i, c, f"{i} поз", str(i), None, None) for i in range(1, 40) for c in "AB"]  # no unit: of two dimensions
+    obs += [(400 + i, "S", f"{i} м", str(i / 2.1336), None, None) for i in range(1, 9)] + [(450, "S", "2", "7", None, None), (451, "S", "2,1336 м", "5", None, None)]
+    obs += [(500 + i, "K", f"В{i}", "7", None, None) for i in range(10, 20)]
+    got = found(spark, obs, par, rul)
+    assert got == {(50, "normalized"), (50, "threshold"), (140, "normalized"), (140, "threshold"), (450, "normalized"), (451, "normalized")}
+    o, p = spark.createDataFrame(obs, OBS), spark.createDataFrame(par, PAR)
+    std = {r.observation_id: r.value_std for r in U.to_parameter_units(o, p)[0].collect()}
+    assert abs(std[10] - 254.0) < 1e-6 and abs(std[120] - 340.0) < 1e-6 and abs(std[402] - 2 / 2.1336) < 1e-6
+    assert not [k for k in std if 200 < k < 400 or k >= 500]
+    assert U.readings(o, p).count() == 0
+
+
 def test_empty_tables(spark):
     assert found(spark, []) == set()
     assert found(spark, [(1, "A", "1 м", "1", None, None)], par=[]) == set()
