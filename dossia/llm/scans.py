@@ -14,7 +14,8 @@
    joins lines into paragraphs.
 
 The corrections and compounds go to the tasks as a dictionary while they are at most
-MAX_ENTRIES; beyond it every row is joined to the entries of its own words.
+MAX_ENTRIES, and so do the bigrams; beyond it every row is joined to the entries of its
+own words and to the bigrams its ties may ask for.
 
 Defined results: null stays null and has no noise; empty text stays empty; lower case
 decides, repairs keep the case of the word; marks of letters and digits (В25, W6) are
@@ -208,7 +209,9 @@ def compounds(lex: DataFrame) -> DataFrame:
     return known.unionByName(whole)
 
 
-def _bigrams(choices: frozenset[str]):
+def _bigrams(choices: frozenset[str] | None):
+    """Pairs of neighbouring words, the second of `choices` (null: any)."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -217,7 +220,7 @@ def _bigrams(choices: frozenset[str]):
             for text in b.column(0).to_pylist():
                 if text:
                     words = _PLAIN_WORD.findall(prepare(text).lower())
-                    n.update((a, c) for a, c in zip(words, words[1:]) if c in choices)
+                    n.update((a, c) for a, c in zip(words, words[1:]) if choices is None or c in choices)
             rows = list(n.items())
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.int64())], names=["before", "word", "n"])
 
@@ -314,6 +317,24 @@ class Repair:
         return join_lines(_TOKEN.sub(word, s))
 
 
+class Ties(Repair):
+    """Notes in `asked` the (word before, candidate) pairs whose counts the repair of a text may look up, whichever way its ties fall."""
+
+    def __init__(self, entries: dict[str, list[str]]) -> None:
+        super().__init__(entries, {})
+        self.asked: set[tuple[str, str]] = set()
+        self.others: dict[str, set[str]] = {}
+
+    def fix(self, word: str, before: str = "") -> str | None:
+        good = super().fix(word, before)
+        c = self.entries.get(word) or []
+        if good is not None and len(c) > 1 and not _NUMBER.fullmatch(word):
+            if before:  # which may itself come of a tie
+                self.asked.update((y, x) for y in {before} | self.others.get(before, set()) for x in c)
+            self.others.setdefault(good, set()).update(c)
+        return good
+
+
 def _cased(like: str, word: str) -> str:
     if like[:1].isdecimal() and like[1:2].isupper() or like.isupper() and len(like) > 1:
         return word.upper() if like[1:].upper() == like[1:] and len(like) > 1 and any(c.isalpha() for c in like[1:]) else word
@@ -431,7 +452,7 @@ def _repair_batches(shared, whole: bool, own: bool):
                     texts.append(None)
                     continue
                 if own:
-                    r = Repair({w: c for w, c in cols[4][i] or []}, {})
+                    r = Repair({w: c for w, c in cols[4][i] or []}, {(x["before"], x["word"]): x["n"] for x in cols[5][i] or []} if whole else {})
                 place = PLACES.get(src, "")
                 prepared = prepare(text)
                 found = r.noise(prepared)
@@ -469,12 +490,13 @@ def repaired(pages: DataFrame, chunks: DataFrame, observations: DataFrame, whole
         known = sorted((r.word, list(r.choices)) for r in entries.collect())
         unsure = frozenset(c for w, cs in known if len(cs) > 1 for c in cs)
         pairs = []
-        if unsure:
+        if unsure and whole:  # ties do not change what is noise
             two = texts.select("text").mapInArrow(_bigrams(unsure), "before string, word string, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
-            pairs = [tuple(r) for r in two.filter("n >= 2").limit(max_entries).collect()]
-        shared = spark.sparkContext.broadcast((known, pairs))
-        return rows.mapInArrow(_repair_batches(shared, whole, False), schema)
-    return _repair_by_join(rows, entries, whole, schema)
+            pairs = [tuple(r) for r in two.filter("n >= 2").limit(max_entries + 1).collect()]
+        if len(pairs) <= max_entries:
+            shared = spark.sparkContext.broadcast((known, pairs))
+            return rows.mapInArrow(_repair_batches(shared, whole, False), schema)
+    return _repair_by_join(rows, texts, entries, whole, schema)
 
 
 def _tokens_of(batches):
@@ -495,12 +517,40 @@ def _tokens_of(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.string())], names=["_id", "word"])
 
 
-def _repair_by_join(rows: DataFrame, entries: DataFrame, whole: bool, schema: str) -> DataFrame:
-    """The same without a dictionary on every task: each row gets the entries of its own words."""
+def _asked_pairs(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        out = []
+        for i, src, text, headers, own in zip(*(c.to_pylist() for c in b.columns)):
+            if text and any(len(c) > 1 for _, c in own or []):
+                r, place, prepared = Ties(dict(own)), PLACES.get(src, ""), prepare(text)
+                found = r.noise(prepared)
+                if headers:
+                    found.add("header")
+                if place and page_marks(text, place):
+                    found.add("page_number")
+                r.text(text, prepared, found, set(headers or ()), place)
+                out += [(i, *p) for p in r.asked]
+        cols = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["_id", "before", "word"])
+
+
+def _repair_by_join(rows: DataFrame, texts: DataFrame, entries: DataFrame, whole: bool, schema: str) -> DataFrame:
+    """The same without a dictionary on every task: each row gets the entries of its own words and the counts of its own pairs."""
     keyed = materialize(rows.withColumn("_id", F.monotonically_increasing_id()))
     words = keyed.select("_id", "text").mapInArrow(_tokens_of, "_id long, word string")
     own = words.join(entries, "word").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "choices"))).alias("own"))
-    return keyed.join(own, "_id", "left").select("src", "row_id", "text", "headers", "own").mapInArrow(_repair_batches(None, whole, True), schema)
+    joined = keyed.join(own, "_id", "left")
+    if not whole:
+        return joined.select("src", "row_id", "text", "headers", "own").mapInArrow(_repair_batches(None, whole, True), schema)
+    joined = materialize(joined)
+    asked = joined.filter("own is not null").select("_id", "src", "text", "headers", "own").mapInArrow(_asked_pairs, "_id long, before string, word string")
+    tied = entries.filter(F.size("choices") > 1).select(F.explode("choices").alias("word")).distinct()
+    two = texts.select("text").mapInArrow(_bigrams(None), "before string, word string, n long").join(tied, "word", "left_semi")
+    two = two.groupBy("before", "word").agg(F.sum("n").alias("n")).filter("n >= 2")
+    pairs = asked.join(two, ["before", "word"]).groupBy("_id").agg(F.collect_list(F.struct("before", "word", "n")).alias("pairs"))
+    return joined.join(pairs, "_id", "left").select("src", "row_id", "text", "headers", "own", "pairs").mapInArrow(_repair_batches(None, whole, True), schema)
 
 
 def noise_found(pages: DataFrame, chunks: DataFrame, observations: DataFrame) -> DataFrame:

@@ -71,6 +71,24 @@ def test_repair_and_both_ways(spark):
     assert a["ocr_pages", 2][1] == "Резервный насос 2 показан строка 2"
 
 
+def test_ties_fall_by_the_word_before_both_ways(spark, monkeypatch):
+    clean = ["Стальная балка показана.", "Стеклянная банка показана.", "Стеклянная банка балка показана."]
+    read = ["Стальная бапка", "Стеклянная бапка", "Стеклянная бапка бапка", "Другая бапка", "Сталь\u00ad\nная бапка"]
+    chunks = [(100 + i, clean[i % 3]) for i in range(300)] + list(enumerate(read))
+    f = frames(spark, [], chunks, [(9, "Стеклянная бапка")])
+    get = lambda df: {(r.src, r.row_id): (r.noise, r.repaired) for r in df.collect()}
+    small = get(S.repaired(*f))
+    assert [small["chunks", i][1] for i in range(3)] == ["Стальная балка", "Стеклянная банка", "Стеклянная банка балка"]
+    assert small["chunks", 4][1] == "Стальная балка" and small["rule_observations", 9][1] == "Стеклянная банка"
+    assert get(S.repaired(*f, max_entries=0)) == small
+    by_join, calls = S._repair_by_join, []
+    monkeypatch.setattr(S, "_repair_by_join", lambda *a: calls.append(1) or by_join(*a))
+    lex = S.lexicon(S.scan_sources(*f))
+    assert S.corrections(lex).count() + S.compounds(lex).count() <= 2  # it is the three bigrams that are too many for 2
+    assert get(S.repaired(*f, max_entries=3)) == small and not calls
+    assert get(S.repaired(*f, max_entries=2)) == small and calls
+
+
 def test_empty(spark):
     assert S.repaired(*frames(spark)).count() == 0
 
