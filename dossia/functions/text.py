@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
+from dossia.functions.chars import plain
+
 # Endings of the light stemmer, longest first.
 RU_ENDINGS = ["иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "ией", "ей", "ой", "ий", "ый", "ая", "яя", "ое", "ее", "ые", "ие", "ам", "ям", "ах", "ях", "ом", "ем", "ов", "ев", "ы", "и", "а", "я", "о", "е", "у", "ю", "ь"]
 # Words without content in questions.
@@ -86,6 +88,16 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def search_text_any(c: Column) -> Column:
+    """search_text of any text: also full-width forms, all blanks and line ends, characters without ink, and accents apart from their letter."""
+    return F.trim(F.regexp_replace(search_text(nfc(plain(c))), r"(?U)\s+", " "))
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp likeness of two texts; null if one is null."""
