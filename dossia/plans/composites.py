@@ -389,6 +389,13 @@ def snk08_collapse(spark, d):
     return observations(spark, d).join(v, "document_version_id").groupBy("parameter_code", "dataset_stage").agg(F.array_sort(F.collect_set("document_version_id")).alias("docs"), F.max("confidence").alias("confidence"))
 
 
+@query(f"select object_id, parameter_code, dataset_stage, list_sort(list(distinct o.document_version_id)) as docs, max(confidence) as confidence from {O} o join {V} v on v.id = o.document_version_id group by 1, 2, 3")
+def snk08_collapse_all(spark, d):
+    """Checks of one parameter merged, evidence united, of all objects."""
+    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id", "dataset_stage")
+    return observations(spark, d).join(v, "document_version_id").groupBy("object_id", "parameter_code", "dataset_stage").agg(F.array_sort(F.collect_set("document_version_id")).alias("docs"), F.max("confidence").alias("confidence"))
+
+
 @query("""
 select event_id, coalesce(ts - lag(ts) over (partition by user_id, event_type order by ts, event_id) <= interval 12 hour, false) as cached from events
 """)
