@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossia.session import materialize
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -57,33 +59,69 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, k: int, vec: str = "emb
     return best.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", F.col("x.id").alias(key), (-F.col("x.minus")).alias("score"), (F.col("rank") + 1).alias("rank"))
 
 
-def leader_clusters(df: DataFrame, group: str, key: str, vec: str, threshold: float) -> DataFrame:
-    """group, key, cluster: vectors in order of key join the nearest centre of their group at or above the threshold, else lead a new cluster.
+def _leaders(vectors: list[np.ndarray], threshold: float) -> tuple[list[int], list[np.ndarray]]:
+    """The cluster of each vector sum, taken in order, and the sums of the clusters."""
+    sums: list[np.ndarray] = []
+    labels = []
+    for x in vectors:
+        if sums:
+            c = np.stack(sums)
+            s = c @ x / np.maximum(np.linalg.norm(c, axis=1) * np.linalg.norm(x), 1e-12)
+            best = int(np.argmax(s))
+            if s[best] >= threshold:
+                sums[best] = sums[best] + x
+                labels.append(best)
+                continue
+        labels.append(len(sums))
+        sums.append(x)
+    return labels, sums
 
-    Groups must be small by their key (blocks); null vectors are in no cluster.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        sums: list[np.ndarray] = []
-        labels = []
-        for v in pdf[vec]:
-            x = np.asarray(v, dtype=np.float64)
-            x = x / max(np.linalg.norm(x), 1e-12)
-            if sums:
-                c = np.stack(sums)
-                s = c @ x / np.maximum(np.linalg.norm(c, axis=1), 1e-12)
-                best = int(np.argmax(s))
-                if s[best] >= threshold:
-                    sums[best] = sums[best] + x
-                    labels.append(best)
-                    continue
-            labels.append(len(sums))
-            sums.append(x)
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": labels})
+def leader_clusters(df: DataFrame, group: str, key: str, vec: str, threshold: float, block_rows: int = 1000) -> DataFrame:
+    """group, key, cluster: vectors join the nearest centre of their group at or above the threshold, else lead a new cluster.
 
+    Equal vectors are one, taken in order of frequency, then of the smallest key, and so
+    always in one cluster.  A group of more than block_rows distinct vectors is cut into
+    blocks by the hash of the vector; the centres of its blocks are then clustered in the
+    same way, by weight, so that block borders do not part like vectors.  The centres of a
+    group are in one task.  Null vectors are in no cluster.
+    """
     kinds = dict(df.dtypes)
-    return df.select(group, key, vec).filter(F.col(vec).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    rows = df.select(group, key, vec).filter(F.col(vec).isNotNull())
+    equal = rows.groupBy(group, vec).agg(F.count("*").alias("_n"), F.min(key).alias("_first"))
+    blocks = equal.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("long").alias("_blocks"))
+    # <=>: rows of the null group too
+    cut = equal.alias("e").join(blocks.alias("b"), F.col(f"e.{group}").eqNullSafe(F.col(f"b.{group}"))).select(f"e.{group}", vec, "_n", "_first", F.pmod(F.xxhash64(vec), F.col("_blocks")).alias("_block"))
+
+    def unit(v) -> np.ndarray:
+        x = np.asarray(v, dtype=np.float64)
+        return x / max(np.linalg.norm(x), 1e-12)
+
+    def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_n", "_first"], ascending=[False, True])
+        labels, sums = _leaders([unit(v) * n for v, n in zip(pdf[vec], pdf["_n"])], threshold)
+        at = pd.Series(labels)
+        first, n = pdf["_first"].groupby(at.to_numpy()).min(), pdf["_n"].groupby(at.to_numpy()).sum()
+        lead = ~at.duplicated().to_numpy()
+        return pd.DataFrame({group: pdf[group], "_block": pdf["_block"], "_first": pdf["_first"], "_own": labels, "_sum": [list(sums[k]) if f else None for k, f in zip(labels, lead)], "_least": [first[k] for k in labels], "_weight": [n[k] for k in labels]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["_block"].nunique() == 1:
+            return pd.DataFrame({group: pdf[group], "_block": pdf["_block"], "_own": pdf["_own"], "cluster": pdf["_own"]})
+        pdf = pdf.sort_values(["_weight", "_least"], ascending=[False, True])
+        labels, _ = _leaders([np.asarray(v) for v in pdf["_sum"]], threshold)
+        return pd.DataFrame({group: pdf[group], "_block": pdf["_block"], "_own": pdf["_own"], "cluster": labels})
+
+    g, k = f"{group} {kinds[group]}", kinds[key]
+    owned = materialize(cut.groupBy(group, "_block").applyInPandas(in_block, f"{g}, _block long, _first {k}, _own long, _sum array<double>, _least {k}, _weight long"))
+    merged = owned.filter("_sum is not null").groupBy(group).applyInPandas(merge, f"{g}, _block long, _own long, cluster long")
+
+    def same(a: str, b: str, *columns: str) -> Column:
+        return F.expr(" and ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in columns))
+
+    firsts = owned.alias("o").join(merged.alias("m"), same("o", "m", group, "_block", "_own")).select(f"o.{group}", "_first", "cluster")
+    keyed = rows.alias("r").join(equal.alias("q"), same("r", "q", group, vec)).select(f"r.{group}", f"r.{key}", "_first")
+    return keyed.alias("k").join(firsts.alias("f"), same("k", "f", group, "_first")).select(f"k.{group}", f"k.{key}", "cluster")
 
 
 def hybrid_score(semantic: Column, lexical: Column, phrase: Column, extra: Column) -> Column:
