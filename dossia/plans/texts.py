@@ -316,6 +316,14 @@ def snk01_submission(spark, d):
     return outputs.nested_submission(f, "object_id", ["parameter_code", "location", "observation_id", "normalized_value"]).select("object_id", "n_checks")
 
 
+@query()
+def snk01_submission_parts(spark, d):
+    """The nested JSON texts themselves, in ordered parts of at most 1 000 checks; tested by brute force."""
+    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id")
+    f = observations(spark, d).filter("confidence < 0.55").join(v, "document_version_id")
+    return outputs.nested_submission_parts(f, "object_id", ["parameter_code", "location", "observation_id", "normalized_value"])
+
+
 @query("select count(*) as n_files, sum(size) as size_bytes from (values (0, 0)) t(a, size) where a > 0")
 def src01_empty_package(spark, d):
     """A folder without files gives an empty scan, not an error."""

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossia.session import materialize
+
 
 def nested_submission(findings: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """by, n_checks, checks: one JSON text a group, its checks in the order of their columns."""
     return findings.groupBy(by).agg(F.count("*").alias("n_checks"), F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("checks"))
 
 
+def nested_submission_parts(findings: DataFrame, by: str, columns: list[str], part_rows: int = 1000) -> DataFrame:
+    """by, part, n_checks, checks: the same in ordered parts of at most part_rows checks, none of which holds a hot group.
+
+    Rows are numbered within their group by range partitions and the counts of the partitions before, so that no task
+    sorts a whole group; the columns must order the rows of a group fully, else equal rows may change places.
+    """
+    # written once: the partitions of a second evaluation might have other borders
+    cut = materialize(findings.select(by, *columns).repartitionByRange(by, *columns).withColumn("_p", F.spark_partition_id()))
+    order = [F.col(c).asc_nulls_first() for c in columns]
+    counts = cut.groupBy(by, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), before.alias("_before"))
+    rows = cut.withColumn("_i", F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order)) - 1)
+    rows = rows.join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q")))
+    rows = rows.withColumn("part", F.floor((F.col("_before") + F.col("_i")) / part_rows).cast("long"))
+    return rows.groupBy(by, "part").agg(F.count("*").alias("n_checks"), F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("checks"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with ; between fields and a header in every file."""
     df.write.mode("overwrite").option("sep", ";").option("header", "true").csv(path)
