@@ -46,18 +46,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_pairs(spans.shared_windows(table(spark, d, "documents")))
+    return spans.shared_pairs(spans.shared_cores(table(spark, d, "documents")))
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(spans.shared_windows(table(spark, d, "documents")))
+    return spans.shared_spans(spans.shared_cores(table(spark, d, "documents")))
 
 
 def p9_parts(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_texts, p6_found, p6_repaired, p7_ids, p8_mixture, p8_shares, p9_found, p9_spans, p9_parts)}
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_classes(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_texts, p6_found, p6_repaired, p7_ids, p8_mixture, p8_shares, p9_found, p9_spans, p9_parts, p9_classes)}
 _SHARED = """w as (select doc_id, i, substr(text, i, 200) as s from documents, lateral (select unnest(range(1, length(text) - 198)) as i) where length(text) >= 200),
 g as (select s from w group by s having count(distinct doc_id) > 1), x as (select w.* from w semi join g on w.s = g.s)"""
 
@@ -78,5 +82,16 @@ select distinct src, row_id from t where regexp_matches(text, '[\x{ff01}-\x{ff60
     "p9_spans": f"""
 with {_SHARED}, d as (select distinct doc_id, i from x), r as (select *, sum(case when coalesce(i - p > 200, true) then 1 else 0 end) over (partition by doc_id order by i) as k from (select *, lag(i) over (partition by doc_id order by i) as p from d))
 select doc_id, (min(i) - 1)::int as start, (max(i) + 200 - min(i))::int as length from r group by doc_id, k
+""",
+    "p9_parts": f"""
+with {_SHARED}, d as (select distinct doc_id, i from x), r as (select *, sum(case when coalesce(i - p > 200, true) then 1 else 0 end) over (partition by doc_id order by i) as k from (select *, lag(i) over (partition by doc_id order by i) as p from d)),
+sp as (select doc_id, k, max(i) + 200 - min(i) as length from r group by doc_id, k), s as (select doc_id, count(*) as n_spans, sum(length)::bigint as shared_chars from sp group by doc_id)
+select a.doc_id, a.n_chars, coalesce(s.n_spans, 0) as n_spans, coalesce(s.shared_chars, 0) as shared_chars, case when a.n_chars > 0 then coalesce(s.shared_chars, 0) / a.n_chars else 0.0 end as shared_part
+from (select doc_id, max(coalesce(length(text), 0))::int as n_chars from documents group by doc_id) a left join s on a.doc_id = s.doc_id
+""",
+    "p9_classes": f"""
+with recursive {_SHARED}, e as (select distinct a.doc_id as u, b.doc_id as v from x a join x b on a.s = b.s and a.doc_id <> b.doc_id),
+c(n, m) as (select doc_id, doc_id from documents union select e.v, c.m from c join e on c.n = e.u)
+select n as doc_id, min(m) as class_id from c group by n
 """,
 }

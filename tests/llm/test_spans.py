@@ -59,16 +59,16 @@ def test_hashes_depend_on_the_window_only():
     assert len(S.gram_hashes(a, 1000)) == 0
 
 
-def run(spark, texts, repeat=False):
+def run(spark, texts, repeat=False, hot=S.HOT):
     rows = [(i, t, 0, 0) for i, t in texts.items()]
     df = spark.createDataFrame(rows + rows * repeat, "doc_id long, text string, doc int, start int")
-    return df, S.shared_windows(df)
+    return df, S.shared_cores(df, hot=hot)
 
 
 def test_pairs_and_spans_equal_brute_force(spark):
-    for seed in (1, 2):
+    for seed, hot in ((1, S.HOT), (2, S.HOT), (3, 1), (4, 0)):
         texts = corpus(seed) | {900: None, 901: "", 902: "а" * 199, 903: "😀" * 210, 904: "x" + "😀" * 205}
-        df, w = run(spark, texts)
+        df, w = run(spark, texts, hot=hot)
         assert {tuple(r) for r in S.shared_pairs(w).collect()} == brute_pairs(texts)
         cover = {}
         for r in S.shared_spans(w).collect():
@@ -78,8 +78,13 @@ def test_pairs_and_spans_equal_brute_force(spark):
 
 def test_copies_runs_and_repeated_rows(spark):
     texts = {1: "ab" * 300, 2: "ba" * 200, 3: "-" * 500, 4: "x" + "-" * 230 + "y", 5: "-" * 199, 6: "q" * 50 + "слово и дело " * 40, 7: "q" * 50 + "слово и дело " * 40}
-    df, w = run(spark, texts, repeat=True)
-    assert {tuple(r) for r in S.shared_pairs(w).collect()} == brute_pairs(texts)
+    for hot in (S.HOT, 0):
+        df, w = run(spark, texts, repeat=True, hot=hot)
+        assert {tuple(r) for r in S.shared_pairs(w).collect()} == brute_pairs(texts)
+        cover = {}
+        for r in S.shared_spans(w).collect():
+            cover[r.doc_id] = cover.get(r.doc_id, 0) + r.length
+        assert cover == brute_cover(texts)
 
 
 def test_parts_have_every_record(spark):
@@ -96,3 +101,28 @@ def test_parts_have_every_record(spark):
 def test_empty(spark):
     df, w = run(spark, {1: None})
     assert S.shared_pairs(w).count() == 0 and S.shared_spans(w).count() == 0
+
+
+def test_spans_at_every_border(spark):
+    """Two records with 195 to 205 characters in common, the rest different, at their ends or inside."""
+    rng, texts = random.Random(9), {}
+    text = lambda k, a: "".join(rng.choice(a) for _ in range(k))
+    for i, k in enumerate(range(195, 206)):
+        span = text(k, "абвгдежз ")
+        for j, (x, y) in enumerate([(0, 30), (30, 0), (77, 91)]):
+            texts[10 * i + j] = text(x, "klm") + span + text(y, "nop")
+    for hot in (S.HOT, 1):
+        _, w = run(spark, texts, hot=hot)
+        assert {tuple(r) for r in S.shared_pairs(w).collect()} == brute_pairs(texts)
+
+
+def test_a_hot_span_is_one_class_with_few_links(spark):
+    rng = random.Random(4)
+    text = lambda k: "".join(rng.choice("абвгдежз ") for _ in range(k))
+    span, almost = text(260), text(195)
+    texts = {i: text(80) + (span if i % 2 else almost) + text(80) for i in range(120)} | {500: text(300), 501: None}
+    df, w = run(spark, texts, hot=20)
+    assert S.shared_links(w).count() < 6 * 60  # of 1770 pairs
+    assert {tuple(r) for r in S.shared_pairs(w).collect()} == brute_pairs(texts)
+    classes = {r.doc_id: r.class_id for r in S.shared_classes(df, hot=20).collect()}
+    assert classes == {i: 1 if i < 120 and i % 2 else i for i in texts}
