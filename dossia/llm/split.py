@@ -1,11 +1,12 @@
 """Splitting long texts at natural boundaries, where the topic changes.
 
 A long text is cut from left to right.  In the window of sizes a piece may have, the
-coarsest boundary there is wins - paragraph, sentence, word - and among paragraph and
-sentence ends the one in the deepest valley of lexical cohesion: the similarity of the
-blocks of words before and after it, against the peaks on either side.  Word gaps carry
-no topic, the last one in the window is taken.  Only where no boundary fits is a text cut
-between two characters.  Every piece but the first repeats the end of its predecessor,
+coarsest boundary there is wins - paragraph, sentence, word - and among those the one in
+the deepest valley of lexical cohesion: the similarity of the blocks of words before and
+after it, against the peaks the curve of the whole text climbs to on either side; where
+the curve is flat the last one in the window.  Only where no boundary fits is a text cut
+between two characters.  A coarser boundary is never passed over where one fits, so the
+finest one a text is cut at tells at which it can be cut (chunk_boundary).  Every piece but the first repeats the end of its predecessor,
 less where a whole paragraph or sentence would not fit otherwise.
 
 Texts are cut one by one in a map over the scan; nothing is shuffled.
@@ -19,6 +20,7 @@ where the chunk's is.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from math import sqrt
 
@@ -45,22 +47,6 @@ def _spans(text: str, gap: re.Pattern, start: int, end: int):
     yield at, end, end
 
 
-def boundary_class(text: str, limit: int = LIMIT) -> str:
-    """The coarsest boundary at which all pieces between boundaries fit the limit."""
-    level = 3
-    for a, b, _ in _spans(text, _BLANK_LINES, 0, len(text)):
-        if b - a <= limit:
-            continue
-        level = min(level, 2)
-        for c, d, _ in _spans(text, _SENTENCE_GAP, a, b):
-            if d - c <= limit:
-                continue
-            level = min(level, 1)
-            if any(f - e > limit for e, f, _ in _spans(text, _WORD_GAP, c, d)):
-                return "none"
-    return LEVELS[level]
-
-
 def _cosine(a: Counter, b: Counter) -> float:
     if len(a) > len(b):
         a, b = b, a
@@ -69,36 +55,71 @@ def _cosine(a: Counter, b: Counter) -> float:
 
 
 class _Cohesion:
-    """Similarity of the blocks of words around a position."""
+    """Lexical cohesion along a text: the similarity of the blocks of words before and after each of its boundaries, and the depth of the valleys."""
 
-    def __init__(self, text: str) -> None:
-        self.text = text
+    def __init__(self, text: str, boundaries: list[int]) -> None:
+        self.text, self.boundaries = text, boundaries
         self.words: list[str] | None = None
-
-    def at(self, positions: list[int]) -> list[float]:
-        if self.words is None:
-            found = list(_WORD.finditer(self.text))
-            self.words = [m[0][:6].lower() for m in found]
-            self.places = [m.start() for m in found]
-        from bisect import bisect_left
-
-        out = []
-        for p in positions:
-            i = bisect_left(self.places, p)
-            out.append(_cosine(Counter(self.words[max(0, i - BLOCK_WORDS) : i]), Counter(self.words[i : i + BLOCK_WORDS])))
-        return out
+        self.depths: dict[int, float] | None = None
+
+    def _read(self) -> None:
+        found = list(_WORD.finditer(self.text))
+        self.words = [m[0][:6].lower() for m in found]
+        self.places = [m.start() for m in found]
+
+    @staticmethod
+    def valleys(s: list[float]) -> list[float]:
+        """Depth of each point under the peaks that the curve climbs to on its two sides."""
+        left, right = list(s), list(s)
+        for i in range(1, len(s)):
+            if s[i - 1] >= s[i]:
+                left[i] = left[i - 1]
+        for i in range(len(s) - 2, -1, -1):
+            if s[i + 1] >= s[i]:
+                right[i] = right[i + 1]
+        return [a + b - 2 * x for a, b, x in zip(left, right, s)]
 
     def deepest(self, positions: list[int]) -> int:
-        """The position in the deepest valley; of equals the last."""
+        """The boundary in the deepest valley of the whole curve; of equals the last."""
         if len(positions) == 1:
             return positions[0]
-        s = self.at(positions)
-        best, where = -1.0, positions[-1]
-        for i, (p, x) in enumerate(zip(positions, s)):
-            depth = max(s[: i + 1]) - x + max(s[i:]) - x
-            if depth >= best:
-                best, where = depth, p
-        return where
+        if self.depths is None:
+            if self.words is None:
+                self._read()
+            at = [bisect_left(self.places, p) for p in self.boundaries]
+            s = [_cosine(Counter(self.words[max(0, i - BLOCK_WORDS) : i]), Counter(self.words[i : i + BLOCK_WORDS])) for i in at]
+            self.depths = dict(zip(self.boundaries, self.valleys(s)))
+        return max(positions, key=lambda p: (self.depths[p], p))
+
+    def deepest_gap(self, lo: int, hi: int) -> int:
+        """The same among the words that begin in (lo, hi], the blocks moved on word by word; 0 if there is none."""
+        if self.words is None:
+            self._read()
+        i, end = bisect_left(self.places, lo + 1), bisect_left(self.places, hi + 1)
+        if i >= end:
+            return 0
+        w, n = self.words, len(self.words)
+        a, b = Counter(w[max(0, i - BLOCK_WORDS) : i]), Counter(w[i : i + BLOCK_WORDS])
+        dot = sum(k * b[x] for x, k in a.items() if x in b)
+        aa, bb = sum(k * k for k in a.values()), sum(k * k for k in b.values())
+        at, s = [], []
+        for j in range(i, end):
+            at.append(self.places[j])
+            s.append(dot / sqrt(aa * bb) if dot else 0.0)
+            x = w[j]  # from the block behind to the block before
+            dot += b[x] - a[x] - 1
+            aa, bb = aa + 2 * a[x] + 1, bb - 2 * b[x] + 1
+            a[x], b[x] = a[x] + 1, b[x] - 1
+            if j >= BLOCK_WORDS:
+                x = w[j - BLOCK_WORDS]
+                dot, aa = dot - b[x], aa - 2 * a[x] + 1
+                a[x] -= 1
+            if j + BLOCK_WORDS < n:
+                x = w[j + BLOCK_WORDS]
+                dot, bb = dot + a[x], bb + 2 * b[x] + 1
+                b[x] += 1
+        best = max(((d, p) for d, p in zip(self.valleys(s), at) if self.text[p - 1].isspace()), default=(0.0, 0))
+        return best[1] if best[0] > 1e-9 else 0
 
 
 def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
@@ -117,7 +138,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     for unit_ends, next_starts in ends.values():
         unit_ends.append(n)
         next_starts.append(n)
-    cohesion = _Cohesion(text)
+    cohesion = _Cohesion(text, sorted({p for _, starts in ends.values() for p in starts if p < n}))
     out: list[tuple[int, int, int, str]] = []
     start = 0
     first = {3: 0, 2: 0}
@@ -154,8 +175,10 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
                 kind = LEVELS[level]
                 break
         else:
-            end = _last_gap(text, start + least, start + room) or _last_gap(text, start + room, start + limit) or _last_gap(text, start, start + least)
+            end = cohesion.deepest_gap(start + least, start + room) or _last_gap(text, start + least, start + room) or _last_gap(text, start + room, start + limit) or _last_gap(text, start, start + least)
             kind = "word"
+            if end <= start and (text[start + limit].isspace() or text[start + limit - 1].isspace()):
+                end = start + limit  # the word fits, the white space behind it does not
             if end <= start:
                 end, kind = _between(text, start + room, start), "none"
         begin = max(out[-1][1], min(start, max(start - overlap, end - limit))) if out else 0
@@ -165,6 +188,11 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
         start = end
 
 
+def coarsest(pieces: list[tuple[int, int, int, str]]) -> str:
+    """The finest kind of boundary a text had to be cut at, which is the coarsest at which all between two boundaries fits; whole if it was not cut."""
+    return LEVELS[min(LEVELS.index(k) for *_, k in pieces[:-1])] if len(pieces) > 1 else "whole"
+
+
 def _last_gap(text: str, lo: int, hi: int) -> int:
     """The last position in (lo, hi] that follows white space and begins a word; 0 if there is none."""
     for p in range(min(hi, len(text) - 1), lo, -1):
@@ -204,8 +232,9 @@ def _pieces(limit: int, overlap: int):
                 if text is None:
                     rows.append((key, 0, None, page, 0, 0, "end", "whole"))
                     continue
-                coarse = boundary_class(text, limit) if len(text) > limit else "whole"
-                for no, (begin, start, end, kind) in enumerate(cut(text, limit, overlap)):
+                pieces = cut(text, limit, overlap)
+                coarse = coarsest(pieces)
+                for no, (begin, start, end, kind) in enumerate(pieces):
                     own = text[begin:end]
                     skip = len(own) - len(own.lstrip())
                     at = None if page is None else page + text.count("\f", 0, begin + (skip if skip < len(own) else 0))

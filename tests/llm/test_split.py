@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -42,10 +43,7 @@ def test_invariants(seed):
     parts = [" ".join(sentence(rng, rng.randint(3, 40)) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 8))]
     text = rng.choice(["\n\n", "\f", "\n \n", "\r\n\r\n"]).join(parts)
     pieces = check(text)
-    kind = S.boundary_class(text)
-    assert kind == brute_class(text.replace("\r\n", "\n"))
-    order = {"end": 3, "paragraph": 3, "sentence": 2, "word": 1, "none": 0}
-    assert min(order[k] for *_, k in pieces) >= order[kind]
+    assert S.coarsest(pieces) == (brute_class(text.replace("\r\n", "\n")) if len(text) > 1400 else "whole")
 
 
 @settings(max_examples=150, deadline=None)
@@ -61,7 +59,33 @@ def test_hard_cases():
     check(("x" * 1400 + "\n\n") * 5)
     check("и\u0306" * 3000)
     assert {k for *_, k in S.cut("x" * 5000)} == {"none", "end"}
-    assert S.boundary_class("x" * 1401) == "none"
+    assert S.coarsest(S.cut("x" * 1401)) == "none"
+    assert S.coarsest(S.cut(("x" * 1400 + "   ") * 3)) == "word"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="аб .!\n\f", min_size=51, max_size=400))
+def test_the_finest_cut_tells_the_class(text):
+    assert S.coarsest(check(text, 50, 10)) == brute_class(text, 50)
+
+
+def test_moving_blocks_give_the_same_curve():
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["насос", "труба", "стена", "кирпич", "и", "вода"]) for _ in range(300))
+    c = S._Cohesion(text, [])
+    c._read()
+    depth = lambda i: S._cosine(Counter(c.words[max(0, i - S.BLOCK_WORDS) : i]), Counter(c.words[i : i + S.BLOCK_WORDS]))
+    at = [p for p in c.places if 200 < p <= 900]
+    s = c.valleys([depth(c.places.index(p)) for p in at])
+    assert c.deepest_gap(200, 900) == max(zip([round(x, 9) for x in s], at))[1]
+
+
+def test_words_without_sentences_are_cut_where_the_topic_changes():
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["насос", "труба", "клапан", "вода"]) for _ in range(130)) + " "
+    change = len(text)
+    text += " ".join(rng.choice(["стена", "кирпич", "раствор", "кладка"]) for _ in range(300))
+    assert change in [e for _, _, e, _ in S.cut(text, 1300, 100)]
 
 
 def test_cuts_where_the_topic_changes():
