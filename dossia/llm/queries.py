@@ -67,7 +67,7 @@ g as (select s from w group by s having count(distinct doc_id) > 1), x as (selec
 
 SQL: dict[str, str] = {
     "p2_found": r"""
-with t as (select distinct chunk_id, text from chunks where length(text) > 1400), p as (select chunk_id, text, regexp_split_to_array(text, '\n[^\S\n]*\n\s*|\s*\f\s*') as ps from t),
+with t as (select distinct chunk_id, text from chunks where length(text) > 1400), p as (select chunk_id, text, regexp_split_to_array(text, '\n[^\S\n]*\n\s*|\f') as ps from t),
 q as (select chunk_id, text, ps, flatten(list_transform(ps, lambda x: string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)))) as ss from p)
 select chunk_id, case when list_max(list_transform(ps, lambda x: length(x))) <= 1400 then 'paragraph' when list_max(list_transform(ss, lambda x: length(x))) <= 1400 then 'sentence'
  when list_max(list_transform(regexp_split_to_array(text, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+'), lambda x: length(x))) <= 1400 then 'word' else 'none' end as boundary from q

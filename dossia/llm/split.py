@@ -31,7 +31,7 @@ LIMIT, OVERLAP = 1400, 220
 BLOCK_WORDS = 30
 
 _LINE = r"(?:\r\n|[\n\r\v\x1c-\x1e\x85  ])"
-_BLANK_LINES = re.compile(rf"{_LINE}[^\S\r\n]*{_LINE}\s*|\s*\f\s*")
+_BLANK_LINES = re.compile(rf"{_LINE}[^\S\r\n]*{_LINE}\s*|\f")
 _SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
 _WORD_GAP = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]{3,}")

@@ -12,7 +12,7 @@ def brute_class(text, limit=1400):
     import re
 
     fits = lambda parts: all(len(p) <= limit for p in parts)
-    paragraphs = re.split(r"\n[ \t]*\n\s*|\s*\f\s*", text)
+    paragraphs = re.split(r"\n[ \t]*\n\s*|\f", text)
     if fits(paragraphs):
         return "paragraph"
     sentences = [s for p in paragraphs for s in re.split(r"(?<=[.!?])\s+", p)]
