@@ -25,7 +25,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossia.functions.chars import BLANKS, INVISIBLE
@@ -76,7 +76,7 @@ def script(ch: str) -> str:
         return "L" if ch.isalpha() else ""
     if 0xC0 <= o <= 0x24F and ch.isalpha() or 0x1E00 <= o <= 0x1EFF:
         return "L"
-    if 0x400 <= o <= 0x52F:
+    if 0x400 <= o <= 0x52F and not 0x482 <= o <= 0x489:
         return "C"
     if 0x370 <= o <= 0x3FF and ch.isalpha() or 0x1F00 <= o <= 0x1FFF and ch.isalpha():
         return "G"
@@ -126,8 +126,10 @@ def _skeleton_map() -> dict[int, str | None]:
 _SIMPLE = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {ord(b): " " for b in BLANKS} | {ord(i): None for i in INVISIBLE}
 _MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 _ODD = re.compile(f"[{re.escape(''.join(chr(c) for c in range(0xFF01, 0xFF5F)) + BLANKS + INVISIBLE)}{_MARKS}]")
-_WORD = re.compile(r"[^\W\d_]+")
-_CYR, _LAT, _GRK = "Ѐ-ԯ", "A-Za-z\u00aa\u00baÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ͳͶͷͻ-ͽͿΆΈ-Ͽἀ-\u1fff"
+# \w takes numbers that are no decimal digits (² ½ Ⅳ) for letters, which they are not here
+_NUMBERS = "".join(chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) in ("No", "Nl"))
+_WORD = re.compile(f"[^\\W\\d_{_NUMBERS}]+")
+_CYR, _LAT, _GRK = "Ѐ-ҁҊ-ԯ", "A-Za-z\u00aa\u00baÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ͳͶͷͻ-ͽͿΆΈ-Ͽἀ-\u1fff"
 _FOREIGN_RUN = re.compile(f"[{_LAT}]+|[{_GRK}]+")
 _FULL = re.compile("[\uff01-\uff60\uffe0-\uffe6]")
 _BLANK = re.compile(f"[{re.escape(BLANKS)}]")
@@ -184,10 +186,14 @@ def faults(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=3)
+def _twins(to: str) -> dict[int, str]:
+    return {ord(a): b for g in _shape_sets() for a in g for b in g if script(b) == to and script(a) != to}
+
+
 def to_script(word: str, to: str) -> str:
     """The word with every letter that has a twin in alphabet `to` replaced by it."""
-    twin = {a: b for g in _shape_sets() for a in g for b in g if script(b) == to and script(a) != to}
-    return "".join(twin.get(c, c) for c in word)
+    return word.translate(_twins(to))
 
 
 def resolve(word: str, common: str = "C") -> str:
@@ -200,8 +206,11 @@ def resolve(word: str, common: str = "C") -> str:
     return to_script(word, max(sure, key=lambda s: (sure[s], all_letters[s], s == common, s)))
 
 
+_ONE_ALPHABET = re.compile(f"(?:[{_LAT}]+|[{_CYR}]+|[{_GRK}]+)")
+
+
 def _words(batches):
-    """Distinct simplified words with letters of each batch, with their skeleton and count."""
+    """Distinct simplified words of each batch with their skeleton, count, whether they are of one alphabet, and what they are resolved to if not."""
     from collections import Counter
 
     import pyarrow as pa
@@ -213,25 +222,27 @@ def _words(batches):
                 counts.update(_WORD.findall(simplify(text)))
         table = _skeleton_map()
         words = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([w.translate(table) for w in words], pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["skeleton", "word", "n"])
+        clean = [_ONE_ALPHABET.fullmatch(w) is not None for w in words]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([w.translate(table) for w in words], pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array(clean, pa.bool_()), pa.array([None if c else resolve(w) for w, c in zip(words, clean)], pa.string())],
+            names=["skeleton", "word", "n", "clean", "resolved"],
+        )
 
 
 def spellings(texts: DataFrame, column: str) -> DataFrame:
-    """word, representative for every spelling that does not stand for its class."""
-    counted = texts.select(column).mapInArrow(_words, "skeleton string, word string, n long").groupBy("skeleton", "word").agg(F.sum("n").alias("n"))
-    single = F.col("word").rlike(f"^(?:[{_LAT}]+|[{_CYR}]+|[{_GRK}]+)$")
-    best = F.max(F.when(F.col("clean"), F.struct(F.col("n"), F.col("word"))))
-    groups = counted.withColumn("clean", single).groupBy("skeleton").agg(
-        best.alias("best"),
-        F.sum("n").alias("total"),
-        F.collect_list("word").alias("words"),  # the spellings of one skeleton: at most a few letters' worth of twins
+    """word, representative for every spelling that does not stand for its class, and for every one of several alphabets."""
+    counted = texts.select(column).mapInArrow(_words, "skeleton string, word string, n long, clean boolean, resolved string")
+    counted = counted.groupBy("skeleton", "word").agg(F.sum("n").alias("n"), F.first("clean").alias("clean"), F.first("resolved").alias("resolved"))
+    groups = counted.groupBy("skeleton").agg(
+        F.max(F.when(F.col("clean"), F.struct(F.col("n"), F.col("word")))).alias("best"),
+        F.min_by("resolved", "word").alias("resolved"),
+        F.collect_list(F.struct("word", "clean")).alias("words"),  # the spellings of one skeleton: at most a few letters' worth of twins
         F.count("*").alias("kinds"),
         F.min("clean").alias("all_clean"),
     )
     groups = groups.filter((F.col("kinds") > 1) | ~F.col("all_clean"))
-    chosen = F.coalesce(F.col("best.word"), F.udf(lambda ws: resolve(min(ws)), "string")(F.col("words")))
-    pairs = groups.select(F.explode("words").alias("word"), chosen.alias("representative"))
-    return pairs.filter(F.col("word") != F.col("representative"))
+    pairs = groups.select(F.explode("words").alias("w"), F.coalesce("best.word", "resolved").alias("representative"))
+    return pairs.select("w.word", "representative", "w.clean").filter((F.col("word") != F.col("representative")) | ~F.col("clean")).drop("clean")
 
 
 def _automaton(pairs: list[tuple[str, str]]):
@@ -247,8 +258,13 @@ def _automaton(pairs: list[tuple[str, str]]):
 
 def rewrite(text: str, automaton) -> str:
     """Patterns replaced greedily from left to right, the longest that begins first, where they are whole words."""
+    return _replace(text, automaton)[0]
+
+
+def _replace(text: str, automaton) -> tuple[str, bool]:
+    """The rewritten text and whether any pattern stands in it."""
     if not len(automaton):
-        return text
+        return text, False
     hits: dict[int, tuple[int, str]] = {}
     for end, (n, to) in automaton.iter(text):
         s = end - n + 1
@@ -256,19 +272,19 @@ def rewrite(text: str, automaton) -> str:
             if s not in hits or hits[s][0] < n:
                 hits[s] = (n, to)
     if not hits:
-        return text
+        return text, False
     out, at = [], 0
     for s in sorted(hits):
         if s >= at:
             out += [text[at:s], hits[s][1]]
             at = s + hits[s][0]
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], True
 
 
 _AUTOMATA: dict[int, object] = {}
 
 
-def _rewriter(shared):
+def _rewriter(shared, check: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -279,41 +295,105 @@ def _rewriter(shared):
                 _AUTOMATA.clear()
                 _AUTOMATA[shared.id] = a
         for b in batches:
-            texts = b.column(2).to_pylist()
-            new = [None if t is None else rewrite(simplify(t), a) for t in texts]
-            found = [[] if t is None else faults(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(new, pa.string()), pa.array(found, pa.list_(pa.string()))], names=["src", "row_id", "text", "canonical", "faults"])
+            new, touched = [], []
+            for t in b.column(2).to_pylist():
+                if t is None:
+                    new.append(None)
+                    touched.append(False)
+                    continue
+                plain = simplify(t)
+                text, hit = _replace(plain, a)
+                new.append(text)
+                touched.append(hit or text != t)
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(new, pa.string()), pa.array(touched, pa.bool_())], names=["src", "row_id", "text", "canonical", "touched"])
+            yield from _check([out]) if check else [out]
 
     return run
 
 
+def _parts(batches):
+    """Each text in order as words and what stands between them."""
+    import pyarrow as pa
+
+    for b in batches:
+        ids, places, parts = [], [], []
+        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            at, own = 0, []
+            for m in _WORD.finditer(text or ""):
+                own += [text[at : m.start()], m[0]]
+                at = m.end()
+            own.append((text or "")[at:])
+            ids += [i] * len(own)
+            places += range(len(own))
+            parts += own
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, pa.string())], names=["_id", "at", "word"])
+
+
+def _join_rewrite(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The same rewriting without an automaton: words joined to their representatives, texts put together again."""
+    keyed = materialize(base.withColumn("_id", F.monotonically_increasing_id()))
+    parts = keyed.select("_id", "canonical").mapInArrow(_parts, "_id long, at int, word string").join(pairs, "word", "left")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("representative", "word").alias("w")))), lambda x: x["w"]), "")
+    parts = parts.groupBy("_id").agg(whole.alias("whole"), F.max(F.col("representative").isNotNull()).alias("hit"))
+    return keyed.join(parts, "_id", "left").select("src", "row_id", "text", F.when(F.col("canonical").isNotNull(), F.col("whole")).alias("canonical"), (F.col("touched") | F.coalesce("hit", F.lit(False))).alias("touched"))
+
+
+def _check(batches):
+    """Exact check of the texts the classes have a say in: what in them differs from what it looks like."""
+    import pyarrow as pa
+
+    for b in batches:
+        found = [faults(t) if touched and t else [] for t, touched in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(found, pa.list_(pa.string()))], names=["src", "row_id", "text", "canonical", "faults"])
+
+
+FAULTS = "src string, row_id long, text string, canonical string, faults array<string>"
+
+
 def canonical_texts(texts: DataFrame, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """src, row_id, text -> the same with canonical and faults (full_width, blank, invisible, accent, alphabets)."""
+    """src, row_id, text -> the same with canonical and faults (full_width, blank, invisible, accent, alphabets).
+
+    Only texts the classes have a say in can have faults: those that are rewritten, and those with a word of several
+    alphabets that stands for itself.
+    """
     spark = texts.sparkSession
     pairs = materialize(spellings(texts, "text"))
-    out = "src string, row_id long, text string, canonical string, faults array<string>"
+    texts = texts.select("src", "row_id", "text")
     if pairs.count() <= max_patterns:
         shared = spark.sparkContext.broadcast(sorted((r.word, r.representative) for r in pairs.collect()))
-        return texts.select("src", "row_id", "text").mapInArrow(_rewriter(shared), out)
-    empty = spark.sparkContext.broadcast([])
-    base = texts.select("src", "row_id", "text").mapInArrow(_rewriter(empty), out)
-    return _join_rewrite(base, pairs)
+        return texts.mapInArrow(_rewriter(shared, True), FAULTS)
+    plain = texts.mapInArrow(_rewriter(spark.sparkContext.broadcast([]), False), "src string, row_id long, text string, canonical string, touched boolean")
+    return _join_rewrite(plain, pairs).mapInArrow(_check, FAULTS)
 
 
-def _join_rewrite(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The same rewriting without an automaton: words joined to their representatives, texts put together again."""
-    keyed = base.withColumn("_id", F.monotonically_increasing_id())
-    keyed = materialize(keyed)
-    parts = keyed.select("_id", F.posexplode(F.regexp_extract_all("canonical", F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))).alias("at", "word"))
-    parts = parts.join(pairs, "word", "left").groupBy("_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("representative", "word").alias("w")))), lambda x: x["w"]), "").alias("whole"))
-    return keyed.join(parts, "_id", "left").select("src", "row_id", "text", F.when(F.col("canonical").isNotNull(), F.coalesce("whole", F.lit(""))).alias("canonical"), "faults")
-
-
-def dirty_rows(observations: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """src, row_id of the rows whose text is not what it looks like; in section marks also any letter that is not Cyrillic."""
-    done = canonical_texts(sources(observations, chunks, facts))
-    foreign: Column = (F.col("src") == "doc_facts") & F.col("text").rlike(f"[\\p{{L}}&&[^{_CYR}]]")
-    return done.filter((F.size("faults") > 0) | foreign).select("src", "row_id").distinct()
+# Section marks are Cyrillic: any other letter in them is read as the Cyrillic one it looks like.
+ALPHABET_OF = {"doc_facts": "C"}
+
+
+def dirty_rows(observations: DataFrame, chunks: DataFrame, facts: DataFrame, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """src, row_id of the rows that rewriting has a say in and that hold a fault; in section marks also any letter that is not Cyrillic."""
+    texts = sources(observations, chunks, facts)
+    own = F.col("src").isin(list(ALPHABET_OF))
+    found = canonical_texts(texts.filter(~own), max_patterns).filter(F.size("faults") > 0).select("src", "row_id")
+    marks = section_marks(texts.filter(own)).filter(F.col("canonical") != F.col("text")).select("src", "row_id")
+    return found.unionByName(marks).distinct()
+
+
+def _marks(batches):
+    import pyarrow as pa
+
+    other = re.compile(f"[^\\W\\d_{_NUMBERS}{_CYR}]")
+    for b in batches:
+        new = []
+        for t in b.column(2).to_pylist():
+            c = None if t is None else to_script(simplify(t), "C")
+            new.append(None if c is None else other.sub("\ufffd", c))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(new, pa.string())], names=["src", "row_id", "text", "canonical"])
+
+
+def section_marks(texts: DataFrame) -> DataFrame:
+    """Texts that only have Cyrillic letters: each character becomes the Cyrillic member of its class, U+FFFD where the class has none."""
+    return texts.select("src", "row_id", "text").mapInArrow(_marks, "src string, row_id long, text string, canonical string")
 
 
 def sources(observations: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def rows(spark, texts):
 
 
 def test_canonical(spark):
-    texts = ["Стальная балка", "Cтальнaя\u00a0балка", "С\u200bтальная", "Стальная\u3000балка", "COM", "СОМ СОМ", "и\u0306", None, "", "wеldеd 5\n\f", "Сталь"]
+    texts = ["Стальная балка", "Cтальнaя\u00a0балка", "С\u200bтальная", "Стальная\u3000балка", "COM", "СОМ СОМ", "и\u0306", None, "", "wеldеd 5\n\f", "Сталь", "5 м²", "м² м", "5 m²", "½Zж x"]
     got = {r.row_id: r.canonical for r in L.canonical_texts(rows(spark, texts)).collect()}
     assert got[0] == got[1] == got[3] == "Стальная балка" and got[2] == "Стальная"
     assert got[4] == "СОМ"  # the more frequent spelling stands for both
@@ -78,9 +78,14 @@ def test_what_looks_the_same_is_the_same(spark, data):
 def test_found(spark):
     o = spark.createDataFrame([(1, "\uff15 м"), (2, "5 м"), (1, "\uff15 м"), (3, None)], "observation_id long, value string")
     c = spark.createDataFrame([(1, "x\ny"), (2, "и\u0306")], "chunk_id long, text string")
-    f = spark.createDataFrame([(1, "AР"), (2, "AP"), (3, "АР.2"), (4, None)], "doc_id long, section_key string")
-    got = {tuple(r) for r in L.dirty_rows(o, c, f).collect()}
-    assert got == {("rule_observations", 1), ("chunks", 2), ("doc_facts", 1), ("doc_facts", 2)}
+    f = spark.createDataFrame([(1, "AР"), (2, "AP"), (3, "АР.2"), (4, None), (5, "Z1"), (6, "КЖ²"), (7, "КЖ\u00a02"), (8, "")], "doc_id long, section_key string")
+    for most in (L.MAX_PATTERNS, 0):
+        got = {tuple(r) for r in L.dirty_rows(o, c, f, most).collect()}
+        assert got == {("rule_observations", 1), ("chunks", 2), *(("doc_facts", i) for i in (1, 2, 5, 7))}
+    # letters of two alphabets side by side that have no twin stand for themselves, and are found all the same
+    o = spark.createDataFrame([(1, "ДZ"), (2, "кВтR"), (3, "ДД Z")], "observation_id long, value string")
+    for most in (L.MAX_PATTERNS, 0):
+        assert {r.row_id for r in L.dirty_rows(o, c.limit(0), f.limit(0), most).collect()} == {1, 2}
     assert L.dirty_rows(o.limit(0), c.limit(0), f.limit(0)).count() == 0
 
 
