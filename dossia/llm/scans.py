@@ -4,10 +4,13 @@
    compounds, and words broken over a line end put together) - distinct words of a
    batch, then one shuffle.
 2. A symmetric-delete index over that lexicon generates correction candidates: words
-   that agree once one or two characters are left out of both; only characters that
-   scanning takes for another are left out.  A weighted edit distance with confusion
-   pairs ranks the candidates; a candidate must be far more frequent than the misread
-   word.  Where two candidates come out alike the word before it decides, by bigram.
+   that agree once any one character is left out of either or both, or two of those that
+   scanning takes for another out of both, or two characters read for one are put together.
+   A weighted edit distance with confusion pairs ranks the candidates; a candidate must be
+   far more frequent than the misread word, and further still for an edit that is no known
+   confusion.  Where two candidates come out alike the word before it decides, by bigram.
+   Numbers are no lexicon: the one nearest to a misread number is that with the digits its
+   letters stand for.
 3. Running headers are lines that stand among the outer lines of three or more pages of
    a document, compared by a key that is the same for misread characters.
 4. A last pass joins broken words, puts the corrections in, takes page furniture out and
@@ -19,8 +22,9 @@ own words and to the bigrams its ties may ask for.
 
 Defined results: null stays null and has no noise; empty text stays empty; lower case
 decides, repairs keep the case of the word; marks of letters and digits (В25, W6) are
-words like any other and only corrected into what is a word of the lexicon; repeated
-rows of one page count as one page.
+words like any other and only corrected into what is a word of the lexicon; a run of more
+than LONGEST letters and digits is no word and stays; repeated rows of one page count as
+one page.
 """
 
 from __future__ import annotations
@@ -37,11 +41,16 @@ from dossia.session import materialize
 
 MAX_ENTRIES = 1_000_000
 LETTER_RATIO = 10  # a word taken for a misreading of letters is so many times rarer
+OTHER_RATIO = 50  # and so many times if the edit is none that scanning is known for
+LONGEST = 40  # longer runs of letters and digits are no words: they stand in no lexicon and are left as they are
 HEADER_PAGES = 3
 
 # Characters (as printed, as read) that scanning takes for another.
 CONFUSIONS = "о0 з3 в8 ч4 б6 нп лп пн ес ин тг кн o0 i1 l1 s5 ec rn tf b8 g9 z2 зэ шщ цд гт нк се пл ни лн"
 COST = {(p[0], p[1]): 0.3 for p in CONFUSIONS.split(" ")[:18]} | {(p[0], p[1]): 0.6 for p in CONFUSIONS.split(" ")[18:]}
+# Two characters (as read) that scanning makes of one.
+PARTS = frozenset({("rn", "m"), ("cl", "d"), ("vv", "w"), ("ьі", "ы"), ("ь1", "ы")})
+PART_COST = 0.6
 READ_AS = frozenset(b for _, b in COST)
 PRINTED = frozenset(a for a, _ in COST)
 
@@ -135,37 +144,70 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 
 def deletes(word: str, chars: frozenset[str]) -> set[str]:
-    """What is left of a word without one, or in longer words two, of the given characters."""
-    at = [i for i, c in enumerate(word) if c in chars]
-    out = {word[:i] + word[i + 1 :] for i in at}
+    """The keys of a word in the symmetric-delete index: itself, what is left without any one character, and, in longer words, without two of the given ones.
+
+    Words within one edit, or with two misread characters, have a key in common; a key is shared by no more words than
+    one inserted letter makes of it, however large the lexicon.
+    """
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
     if len(word) >= 6:
-        out |= {word[:i] + word[i + 1 : j] + word[j + 1 :] for i, j in combinations(at, 2)}
+        at = [i for i, c in enumerate(word) if c in chars]
+        out |= {f"{len(word)}:{word[:i]}{word[i + 1 : j]}{word[j + 1 :]}" for i, j in combinations(at, 2)}
     return out
 
 
 def distance(read: str, printed: str) -> float:
-    """Weighted edit distance of words of one length: the costs of the pairs that differ, infinite if a pair is no confusion."""
-    total = 0.0
-    for r, p in zip(read, printed):
-        if r != p:
-            c = COST.get((p, r))
-            if c is None:
-                return float("inf")
-            total += c
-    return total
-
-
-def _index(chars: frozenset[str]):
+    """Weighted edit distance: the cost of a pair that scanning confuses, PART_COST where it takes two characters for one, else 1 for each exchanged, lost, added or swapped character."""
+    if len(read) == len(printed):  # mostly
+        same = sum(COST.get((p, r), 1.0) for r, p in zip(read, printed) if r != p)
+        if same < 1:
+            return same
+    far = len(read) + len(printed)
+    two, one, now = [], [], [float(j) for j in range(len(printed) + 1)]
+    for i, r in enumerate(read, 1):
+        two, one, now = one, now, [float(i), *[float(far)] * len(printed)]
+        for j, p in enumerate(printed, 1):
+            best = one[j - 1] if r == p else min(one[j - 1] + COST.get((p, r), 1.0), one[j] + 1, now[j - 1] + 1)
+            if i > 1:
+                if j > 1 and r == printed[j - 2] and read[i - 2] == p:
+                    best = min(best, two[j - 2] + 1)
+                if (read[i - 2] + r, p) in PARTS:
+                    best = min(best, two[j - 1] + PART_COST)
+            now[j] = best
+    return now[-1]
+
+
+def likely(read: str, n: int, printed: str, m: int, d: float) -> bool:
+    """Whether a word read n times is a misreading of one printed m times, d away from it."""
+    if d > 1.2:
+        return False
+    if _HAS_DIGIT.search(read) and not read.isdecimal() and printed.isalpha() and d < 1:
+        return m >= n
+    if d < 1:
+        return m >= LETTER_RATIO * n * (2 if d > 0.31 else 1)
+    if len(read) == len(printed) and sum(r != p for r, p in zip(read, printed)) == 2 and all(r == p or (p, r) in COST for r, p in zip(read, printed)):
+        return m >= LETTER_RATIO * n * 2
+    # any other edit also parts words that are both right: not in short words, nor where they are inflected
+    return min(len(read), len(printed)) >= 7 and m >= OTHER_RATIO * n and read[0] == printed[0] and read[-3:] == printed[-3:]
+
+
+def _index(chars: frozenset[str], misread: bool):
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             keys, words, ns = [], [], []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k in deletes(w, chars):
-                    keys.append(f"{len(w)}:{k}")
-                    words.append(w)
-                    ns.append(n)
+                own = deletes(w, chars)
+                if misread:
+                    for two, one in PARTS:
+                        at = w.find(two)
+                        while at >= 0:
+                            own.add(w[:at] + one + w[at + 2 :])
+                            at = w.find(two, at + 1)
+                keys += own
+                words += [w] * len(own)
+                ns += [n] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], names=["key", "word", "n"])
 
     return run
@@ -178,7 +220,7 @@ def _ranked(batches):
         out = []
         for w, n, c, m in zip(*(x.to_pylist() for x in b.columns)):
             d = distance(w, c)
-            if d <= 1.2 and m >= (n if _HAS_DIGIT.search(w) and not w.isdecimal() and c.isalpha() else LETTER_RATIO * n * (2 if d > 0.31 else 1)):
+            if likely(w, n, c, m, d):
                 out.append((w, c, d, m))
         cols = list(zip(*out)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["word", "candidate", "cost", "n"])
@@ -186,12 +228,12 @@ def _ranked(batches):
 
 def corrections(lex: DataFrame, min_known: int = 3) -> DataFrame:
     """word, choices: the candidates with the least cost, most frequent first (one where the lexicon alone decides)."""
-    alone = lex.filter(~F.col("word").contains("-") & (F.length("word") >= 3))
-    read = alone.select("word", (F.col("n") + F.col("n_broken")).alias("n")).mapInArrow(_index(READ_AS), "key string, word string, n long")
-    known = alone.filter((F.col("n") >= min_known) & ~F.col("word").rlike(r"\d")).select("word", "n").mapInArrow(_index(PRINTED), "key string, word string, n long")
+    alone = lex.filter(~F.col("word").contains("-") & F.length("word").between(3, LONGEST))
+    read = alone.select("word", (F.col("n") + F.col("n_broken")).alias("n")).mapInArrow(_index(READ_AS, True), "key string, word string, n long")
+    known = alone.filter((F.col("n") >= min_known) & ~F.col("word").rlike(r"\d")).select("word", "n").mapInArrow(_index(PRINTED, False), "key string, word string, n long")
     # the index is many times its lexicon, so the planner's estimate of it must not make it a broadcast
-    pairs = read.join(known.select("key", F.col("word").alias("candidate"), F.col("n").alias("m")).hint("merge"), "key").filter((F.col("word") != F.col("candidate")) & (F.col("m") >= F.col("n"))).select("word", "n", "candidate", "m")
-    ranked = pairs.mapInArrow(_ranked, "word string, candidate string, cost double, n long").distinct()
+    pairs = read.join(known.select("key", F.col("word").alias("candidate"), F.col("n").alias("m")).hint("merge"), "key").filter((F.col("word") != F.col("candidate")) & (F.col("m") >= F.col("n"))).select("word", "n", "candidate", "m").distinct()
+    ranked = pairs.mapInArrow(_ranked, "word string, candidate string, cost double, n long")
     # a candidate that is a misreading itself only counts where there is no other
     ranked = ranked.join(ranked.select(F.col("word").alias("candidate"), F.lit(1).alias("also")).distinct(), "candidate", "left")
     rank = F.struct(F.coalesce("also", F.lit(0)).alias("also"), F.round("cost", 3).alias("cost"))

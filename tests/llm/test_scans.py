@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dossia.llm import scans as S
@@ -24,7 +26,58 @@ def test_keys_of_lines():
 
 def test_deletes_meet():
     assert S.deletes("п0казан", S.READ_AS) & S.deletes("показан", S.PRINTED)
-    assert S.distance("п0казан", "показан") < 1 and S.distance("пxказан", "показан") == float("inf")
+    assert S.distance("п0казан", "показан") < 1 <= S.distance("пxказан", "показан")
+
+
+def brute_distance(a, b):
+    """Least cost over all ways to read b as a, by plain recursion."""
+    import functools
+
+    @functools.cache
+    def d(i, j):
+        if not i or not j:
+            return float(i + j)
+        out = [d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (0 if a[i - 1] == b[j - 1] else S.COST.get((b[j - 1], a[i - 1]), 1.0))]
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            out.append(d(i - 2, j - 2) + 1)
+        if i > 1 and (a[i - 2 : i], b[j - 1]) in S.PARTS:
+            out.append(d(i - 2, j - 1) + S.PART_COST)
+        return min(out)
+
+    return d(len(a), len(b))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="о0нпrnmасе", max_size=8), st.text(alphabet="о0нпrnmасе", max_size=8))
+def test_distance(a, b):
+    assert S.distance(a, b) == pytest.approx(brute_distance(a, b))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="абвгдеож", min_size=1, max_size=10), st.integers(0, 9), st.sampled_from("абвx"), st.integers(0, 3))
+def test_one_edit_always_meets(word, at, letter, kind):
+    at %= len(word)
+    edited = [word[:at] + letter + word[at + 1 :], word[:at] + word[at + 1 :], word[:at] + letter + word[at:], word[:at] + word[at : at + 2][::-1] + word[at + 2 :]][kind]
+    assert S.deletes(edited, S.READ_AS) & S.deletes(word, S.PRINTED)
+
+
+def test_edits_off_the_list(spark):
+    clean = [(100 + i, "Площадка смонтирована, конструкция рассчитана, modern system.") for i in range(120)]
+    read = ["рассчптана", "расчитана", "расссчитана", "рассчтиана", "modem systern", "рассчитано", "скобка"]
+    f = frames(spark, [], clean + list(enumerate(read)), [])
+    got = {r.row_id: r.repaired for r in S.repaired(*f).collect()}
+    assert [got[i] for i in range(7)] == ["рассчитана"] * 4 + ["modem system"] + ["рассчитано", "скобка"]
+
+
+def test_long_tokens_cost_little(spark):
+    import time
+
+    hard = "о" * 20_000
+    f = frames(spark, [], [(i, f"{GOOD} {hard[: 10_000 + i]}") for i in range(3)], [])
+    began = time.time()
+    got = {r.row_id: r.repaired for r in S.repaired(*f).collect()}
+    assert got[1] == f"{GOOD} {hard[:10_001]}" and time.time() - began < 60
+    assert len(S.deletes("о" * S.LONGEST, S.PRINTED)) < 1000
 
 
 def frames(spark, pages=(), chunks=(), obs=()):
