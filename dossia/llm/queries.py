@@ -41,8 +41,7 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return mixture.shares(mixture.mixture(table(spark, d, "documents"), targets), targets)
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

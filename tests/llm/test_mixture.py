@@ -23,6 +23,36 @@ def test_pfair(weights):
 def test_whole_weights():
     assert M.whole_weights([0.5, 0.25, 0.25]) == [2, 1, 1]
     assert M.whole_weights([0.3, 0.3]) == [1, 1]
+    assert M.whole_weights([0.99995, 0.00005]) == [19_999, 1]
+    assert M.whole_weights([0.1] * 10) == [1] * 10
+    w = M.whole_weights([1 / 3, 2 / 3 - 1e-7, 1e-7 + 1e-6])
+    assert abs(w[2] / sum(w) - 1.1e-6) <= 5e-7
+    with pytest.raises(ValueError):
+        M.whole_weights([1 - 1e-9, 1e-9])
+
+
+def test_a_tiny_share_is_kept(spark):
+    docs = spark.createDataFrame([(i, "слово дело " * 20, "a" if i < 2000 else "b") for i in range(2003)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(1, "a", 0.9985, 1), (1, "b", 0.0015, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    got = {r.source: r for r in M.shares(docs, targets, block_tokens=50).collect()}
+    assert got["b"].n_docs == 3 and abs(got["b"].actual_share - 0.0015) < 0.0003
+    assert got["b"].unused_tokens == 0 and got["a"].unused_tokens >= 0
+
+
+def test_too_many_slots_are_refused(spark):
+    docs = spark.createDataFrame([(1, "слово", "a"), (2, "дело", "b")], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(i, s, x, 1) for i in range(5) for s, x in (("a", 0.999999), ("b", 0.000001))], "mix_id int, source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        M.mixture(docs, targets)
+
+
+def test_more_than_one_bucket(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "слово " * (i % 7), "a") for i in range(300)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(1, "a", 1.0, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    whole = {(r.doc_id, r.start) for r in M.mixture(docs, targets, 16).collect()}
+    monkeypatch.setattr(M, "BUCKET_ROWS", 2)
+    split = {(r.doc_id, r.start) for r in M.mixture(docs, targets, 16).collect()}
+    assert split != whole and abs(len(split) - len(whole)) <= 1  # what follows the last whole block differs
 
 
 def test_plan_leaves_out_what_is_empty():
@@ -35,7 +65,7 @@ def test_plan_leaves_out_what_is_empty():
 def test_mixture(spark, data):
     docs, targets = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/mix_targets.parquet")
     mixed = M.mixture(docs, targets, block_tokens=512).cache()
-    share = {(r.mix_id, r.source): r for r in M.shares(mixed, targets).collect()}
+    share = {(r.mix_id, r.source): r for r in M.shares(docs, targets, block_tokens=512).collect()}
     uses = Counter((r.mix_id, r.doc_id) for r in mixed.collect())
     source = {r.doc_id: r.source for r in docs.collect()}
     for (mix, doc), n in uses.items():
