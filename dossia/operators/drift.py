@@ -3,7 +3,7 @@
 Every file is profiled by field (types, and a sketch of its values by object); a file
 is held against the one before it in its suite; fields that went and fields that came
 are matched one to one by value agreement and likeness of name; matched fields are one
-column of the unified table.
+column of the unified tables, one long with a row a value, one wide and typed.
 
 Defined results: payloads that hold no record (null, empty, broken text, other JSON)
 give a file without fields: it is compared like any other, so its successor's fields
@@ -161,11 +161,14 @@ def match_fields(gone: dict[str, dict[int, int]], came: dict[str, dict[int, int]
 
 
 def _diff(batches):
+    """Changes from one file to the next; a field in both that has no type in the older one may be retyped: `unsure`."""
     import pyarrow as pa
 
     for b in batches:
         out = []
         for row in b.to_pylist():
+            kinds = {f["name"]: f["kind"] for f in row["fields"] or []}
+            were = {f["name"]: f["kind"] for f in row["old_fields"] or []}
             new = {f["name"]: dict(zip(f["objects"], f["marks"])) for f in row["fields"] or []}
             old = {f["name"]: dict(zip(f["objects"], f["marks"])) for f in row["old_fields"] or []}
             gone = {k: v for k, v in old.items() if k not in new}
@@ -176,7 +179,9 @@ def _diff(batches):
             out += [(*head, o, "removed", None) for o in gone if o not in renamed]
             taken = set(renamed.values())
             out += [(*head, w, "added", None) for w in came if w not in taken]
-            out += [(*head, k, "kept", None) for k in new if k in old]
+            for k in new:
+                if k in old and kinds[k] is not None and kinds[k] != were[k]:
+                    out.append((*head, k, "unsure" if were[k] is None else "retyped", None))
         cols = list(zip(*out)) if out else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.timestamp("us"), pa.string(), pa.string(), pa.string()))], names=["file_id", "suite_id", "written_at", "field_name", "change", "new_name"])
 
@@ -188,52 +193,126 @@ def field_changes(profiles: DataFrame) -> DataFrame:
     old = profiles.select(F.col("file_id").alias("before_id"), F.col("fields").alias("old_fields"))
     both = pairs.join(profiles, "file_id").join(old, "before_id").select("file_id", "suite_id", "written_at", "fields", "old_fields")
     diff = materialize(both.mapInArrow(_diff, "file_id long, suite_id string, written_at timestamp_ntz, field_name string, change string, new_name string"))
+    # a type before the file before it: only looked up for fields that had none there
+    asked = diff.filter(F.col("change") == "unsure").select("suite_id", "field_name").distinct()
     typed = profiles.select("suite_id", "written_at", "file_id", F.explode("fields").alias("f")).select("suite_id", "written_at", "file_id", F.col("f.name").alias("field_name"), F.col("f.kind").alias("kind")).filter(F.col("kind").isNotNull())
+    typed = typed.join(asked, [typed["suite_id"].eqNullSafe(asked["suite_id"]), typed["field_name"] == asked["field_name"]], "left_semi")
     was = lag_by(typed, ["suite_id", "field_name"], ["written_at", "file_id"], {"kind_before": "kind"})
     other = was.filter(F.col("kind") != F.col("kind_before")).select("file_id", "field_name")
-    retyped = diff.filter(F.col("change") == "kept").join(other, ["file_id", "field_name"], "left_semi").withColumn("change", F.lit("retyped"))
-    return diff.filter(F.col("change") != "kept").unionByName(retyped)
+    retyped = diff.filter(F.col("change") == "unsure").join(other, ["file_id", "field_name"], "left_semi").withColumn("change", F.lit("retyped"))
+    return diff.filter(F.col("change") != "unsure").unionByName(retyped)
 
 
 def drift_found(files: DataFrame) -> DataFrame:
     return field_changes(materialize(profile_files(files))).select("file_id", "field_name", "change").distinct()
 
 
-def _records(batches):
-    import pyarrow as pa
+def latest_names(profiles: DataFrame) -> DataFrame:
+    """file_id, names: for each field of a file the latest name of it in its suite.
 
-    for b in batches:
-        out = []
-        for row in b.to_pylist():
-            for no, r in enumerate(parse_records(row["payload"])):
-                oid = r.get("object_id")
-                for k, v in r.items():
-                    if k != "object_id":
-                        out.append((row["file_id"], row["suite_id"], row["written_at"], no, None if oid is None else str(oid), k, None if v is None else v if isinstance(v, str) else _canon(v), json_kind(v)))
-        cols = list(zip(*out)) if out else [[]] * 8
-        types = (pa.int64(), pa.string(), pa.timestamp("us"), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["file_id", "suite_id", "written_at", "record_no", "object_id", "field_name", "value", "kind"])
-
-
-def unify(files: DataFrame, max_renames: int = 64) -> DataFrame:
-    """Every value of every record in one long table; column_name is the latest name of the field in its suite.
-
-    Names are followed through the renames that come after the file, one rename a round,
-    until none applies (at most max_renames of one field, else an error).
+    Names are followed through the renames that come after the file, one rename of a field
+    a round, until none applies; each round goes on in time, so there are no more than files.
     """
-    one = files.select("file_id", "suite_id", "written_at", "payload").dropDuplicates(["file_id"])
-    cells = one.mapInArrow(_records, "file_id long, suite_id string, written_at timestamp_ntz, record_no long, object_id string, field_name string, value string, kind string")
-    profiles = materialize(profile_files(files))
     changes = materialize(field_changes(profiles).filter(F.col("change") == "renamed").select("suite_id", F.col("field_name").alias("name"), "new_name", F.col("written_at").alias("at"), F.col("file_id").alias("by")))
     names = profiles.select("file_id", "suite_id", "written_at", F.explode("fields.name").alias("field_name")).withColumn("name", F.col("field_name")).withColumn("since", F.struct("written_at", "file_id"))
-    for _ in range(max_renames):
+    while True:
         step = names.join(changes, ["suite_id", "name"]).filter(F.struct("at", "by") > F.col("since"))
-        step = step.groupBy("file_id", "field_name").agg(F.min_by(F.struct("new_name", "at", "by"), F.struct("at", "by")).alias("to"))
+        step = materialize(step.groupBy("file_id", "field_name").agg(F.min_by(F.struct("new_name", "at", "by"), F.struct("at", "by")).alias("to")))
         if step.isEmpty():
             break
         names = materialize(
             names.join(step, ["file_id", "field_name"], "left").select("file_id", "suite_id", "written_at", "field_name", F.coalesce("to.new_name", "name").alias("name"), F.when(F.col("to").isNotNull(), F.struct(F.col("to.at").alias("written_at"), F.col("to.by").alias("file_id"))).otherwise(F.col("since")).alias("since"))
         )
-    else:
-        raise ValueError("a field was renamed too often")
-    return cells.join(names.select("file_id", "field_name", F.col("name").alias("column_name")), ["file_id", "field_name"]).select("file_id", "suite_id", "written_at", "record_no", "object_id", "field_name", "column_name", "value", "kind")
+    return names.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "name"))).alias("names"))
+
+
+def _named(files: DataFrame) -> DataFrame:
+    one = files.select("file_id", "suite_id", "written_at", "payload").dropDuplicates(["file_id"])
+    return one.join(latest_names(materialize(profile_files(files))), "file_id", "left").select("file_id", "suite_id", "written_at", "payload", "names")
+
+
+CELLS = "file_id long, suite_id string, written_at timestamp_ntz, record_no long, object_id string, field_name string, column_name string, value string, kind string"
+
+
+def _cells(batches):
+    import pyarrow as pa
+
+    types = (pa.int64(), pa.string(), pa.timestamp("us"), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string())
+    for b in batches:
+        out = []
+        for row in b.to_pylist():
+            names = dict(row["names"] or [])
+            for no, r in enumerate(parse_records(row["payload"])):
+                oid = r.get("object_id")
+                for k, v in r.items():
+                    if k != "object_id":
+                        out.append((row["file_id"], row["suite_id"], row["written_at"], no, None if oid is None else str(oid), k, names.get(k, k), _text(v), json_kind(v)))
+        cols = list(zip(*out)) if out else [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[x.split(" ")[0] for x in CELLS.split(", ")])
+
+
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else _canon(value)
+
+
+def unify(files: DataFrame) -> DataFrame:
+    """Every value of every record in one long table; column_name is the latest name of the field in its suite."""
+    return _named(files).mapInArrow(_cells, CELLS)
+
+
+def columns_of(cells: DataFrame, most: int = 5_000) -> list[tuple[str, str]]:
+    """(column, type) of the wide table: double where all values are numbers, boolean where all are, else string; refuses more than `most` columns."""
+    kinds = cells.filter(F.col("kind").isNotNull()).groupBy("column_name").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    named = cells.select("column_name").distinct().join(kinds, "column_name", "left").limit(most + 1).collect()
+    if len(named) > most:
+        raise ValueError("too many fields for one table")
+    of = {"number": "double", "boolean": "boolean"}
+    return sorted((r.column_name, of.get(r.lo, "string") if r.lo == r.hi else "string") for r in named)
+
+
+def _rows(columns: list[tuple[str, str]]):
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+        schema = pa.schema([("file_id", pa.int64()), ("suite_id", pa.string()), ("written_at", pa.timestamp("us")), ("record_no", pa.int64()), ("object_id", pa.string()), *((f"c{i}", kinds[t]) for i, (_, t) in enumerate(columns))])
+        place = {c: i for i, (c, _) in enumerate(columns)}
+        for b in batches:
+            head: list[list] = [[] for _ in range(5)]
+            body: list[list] = [[] for _ in columns]
+            for row in b.to_pylist():
+                names = dict(row["names"] or [])
+                for no, r in enumerate(parse_records(row["payload"])):
+                    oid = r.get("object_id")
+                    for h, x in zip(head, (row["file_id"], row["suite_id"], row["written_at"], no, None if oid is None else str(oid))):
+                        h.append(x)
+                    new: list = [None] * len(columns)
+                    for k, v in r.items():
+                        if k != "object_id":
+                            i = place[names.get(k, k)]
+                            t = columns[i][1]
+                            new[i] = _text(v) if t == "string" else None if v is None else float(v) if t == "double" else v
+                    for c, x in zip(body, new):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*head, *body], schema)], schema=schema)
+
+    return run
+
+
+def unified_table(files: DataFrame) -> DataFrame:
+    """All records in one typed table: file_id, suite_id, written_at, record_no, object_id and one column per field by its latest name.
+
+    A field named like another one but for case, or like one of the first columns, gets a number behind its name.
+    """
+    named = materialize(_named(files))
+    columns = columns_of(named.mapInArrow(_cells, CELLS))
+    out = named.mapInArrow(_rows(columns), "file_id long, suite_id string, written_at timestamp_ntz, record_no long, object_id string" + "".join(f", c{i} {t}" for i, (_, t) in enumerate(columns)))
+    taken, titles = {"file_id", "suite_id", "written_at", "record_no", "object_id"}, []
+    for c, _ in columns:
+        title, n = c, 1
+        while title.lower() in taken:
+            n += 1
+            title = f"{c}_{n}"
+        taken.add(title.lower())
+        titles.append(title)
+    return out.toDF("file_id", "suite_id", "written_at", "record_no", "object_id", *titles)

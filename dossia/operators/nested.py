@@ -7,12 +7,16 @@
    singletons are inlined into the element that holds them.  Elements whose
    members are alike (`attempts` and their `retries`) are one table.
 3. A second pass, again without a shuffle, writes every record as rows of these
-   tables with the key of the record, a number in reading order and the number of
-   the parent row.
+   tables with the key of the record, a number in reading order and table and number
+   of the parent row.  Elements given as one family are also numbered together in the
+   same walk, whichever tables they are in.
+4. flat_tables makes one table with typed columns of each, by member.
 
 Defined results: null, empty and cut-off JSON, and JSON too deep to parse, give no
 rows; lists given as JSON text are read as lists, an object where a list is usual as
-a list of one; repeated records give repeated rows (callers take distinct keys).
+a list of one; every value of a list of values, or beside the objects of a list, is a
+row with the one member `value`, which takes no number of its family; repeated records
+give repeated rows (callers take distinct keys).
 """
 
 from __future__ import annotations
@@ -22,8 +26,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossia.session import materialize
+
 MAX_SCHEMA_EDGES = 200_000
 ROOT = "$"
+VALUE = "value"
 
 
 def _loads(text: str | None):
@@ -43,54 +50,57 @@ def _unquote(value):
     return value
 
 
-def _has_objects(value) -> bool:
-    """Whether a list holds objects, also in lists inside it."""
-    todo = [value]
-    while todo:
-        for x in todo.pop():
-            if isinstance(x, dict):
-                return True
-            if isinstance(x, list):
-                todo.append(x)
-    return False
+def _kind(value) -> str:
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, (int, float)):
+        return "number"
+    return "null" if value is None else "string"
 
 
 def _edges(batches):
+    """parent, child, kind, n, n_list; a list of values is an element whose one member is `value`."""
     import pyarrow as pa
 
     seen: dict[tuple[str, str, str], list[int]] = {}
+
+    def count(parent: str, child: str, kind: str, many: bool) -> None:
+        c = seen.setdefault((parent, child, kind), [0, 0])
+        c[0] += 1
+        c[1] += many
+
     for b in batches:
         for text in b.column(0).to_pylist():
             top = _loads(text)
             stack = [(ROOT, top)] if isinstance(top, (dict, list)) else []
             while stack:
                 name, node = stack.pop()
-                for key, value in node.items() if isinstance(node, dict) else [(name, x) for x in node]:
+                if isinstance(node, list):
+                    for x in map(_unquote, node):
+                        if isinstance(x, (dict, list)):
+                            stack.append((name, x))
+                        else:
+                            count(name, VALUE, _kind(x), False)
+                    continue
+                for key, value in node.items():
                     value = _unquote(value)
-                    if isinstance(node, list):
-                        if isinstance(value, (dict, list)):
-                            stack.append((name, value))
-                        continue
-                    many = isinstance(value, list)
-                    objects = isinstance(value, dict) or (many and _has_objects(value))
-                    kind = "object" if objects else "value"
-                    c = seen.setdefault((name, key, kind), [0, 0])
-                    c[0] += 1
-                    c[1] += many
-                    if objects:
+                    if isinstance(value, (dict, list)):
+                        count(name, key, "object", isinstance(value, list))
                         stack.append((key, value))
+                    else:
+                        count(name, key, _kind(value), False)
     rows = [(p, c, k, n, m) for (p, c, k), (n, m) in seen.items()]
     yield pa.RecordBatch.from_pydict({"parent": [r[0] for r in rows], "child": [r[1] for r in rows], "kind": [r[2] for r in rows], "n": [r[3] for r in rows], "n_list": [r[4] for r in rows]}, schema=pa.schema([("parent", pa.string()), ("child", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("n_list", pa.int64())]))
 
 
 def schema_graph(records: DataFrame, json_col: str) -> DataFrame:
-    """parent, child, kind (object or value), n, n_list: how often child stands in parent, and how often as a list."""
+    """parent, child, kind (object for objects and lists, else the type of a value), n, n_list: how often child stands in parent, and how often as a list."""
     e = records.select(json_col).mapInArrow(_edges, "parent string, child string, kind string, n long, n_list long")
     return e.groupBy("parent", "child", "kind").agg(F.sum("n").alias("n"), F.sum("n_list").alias("n_list"))
 
 
-def plan_tables(edges: list[tuple[str, str, str, int, int]], alike: float = 0.5) -> dict[str, str]:
-    """element name -> its table, for the elements that get one; every other object is inlined into its holder."""
+def plan_tables(edges: list[tuple[str, str, str, int, int]], alike: float = 0.5, always: tuple[str, ...] = ()) -> dict[str, str]:
+    """element name -> its table, for the elements that get one (those of `always` in any case); every other object is inlined into its holder."""
     objects = [e for e in edges if e[2] == "object"]
     members: dict[str, set[str]] = {}
     for p, c, *_ in edges:
@@ -99,7 +109,7 @@ def plan_tables(edges: list[tuple[str, str, str, int, int]], alike: float = 0.5)
     repeated: set[str] = set()
     for p, c, _, _, n_list in objects:
         parents.setdefault(c, set()).add(p)
-        if n_list:
+        if n_list or c in always:
             repeated.add(c)
 
     def reach(a: str) -> set[str]:
@@ -116,19 +126,22 @@ def plan_tables(edges: list[tuple[str, str, str, int, int]], alike: float = 0.5)
     names = sorted(repeated | {c for c in parents if c in below[c]}, key=lambda c: (len(parents[c] & repeated), c))
     table: dict[str, str] = {}
     for c in names:  # an element is the table of the first one whose members are alike
-        same = next((t for t in dict.fromkeys(table.values()) if len(members.get(c, set()) & members[t]) >= alike * max(1, len(members.get(c, set()) | members[t]))), c)
-        table[c] = same
+        own = members.get(c, set()) - {VALUE}
+        table[c] = next((t for t in dict.fromkeys(table.values()) if len(own & members.get(t, set())) >= max(1, alike * len(own | members.get(t, set()) - {VALUE}))), c)
     for c, ps in parents.items():  # shared by tables that differ
         if c not in table and len({table.get(p, p) for p in ps}) > 1 and c != ROOT:
             table[c] = c
     return table
 
 
-def _shred(table: dict[str, str]):
+ROWS = "_id long, table string, element string, row_no long, parent_table string, parent_no long, family_no long, parent_family_no long, names array<string>, vals array<string>"
+
+
+def _shred(table: dict[str, str], family: frozenset[str], only: frozenset[str] | None):
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("_id", pa.int64()), ("table", pa.string()), ("element", pa.string()), ("row_no", pa.int64()), ("parent_table", pa.string()), ("parent_no", pa.int64()), ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))])
+        schema = pa.schema([("_id", pa.int64()), ("table", pa.string()), ("element", pa.string()), ("row_no", pa.int64()), ("parent_table", pa.string()), ("parent_no", pa.int64()), ("family_no", pa.int64()), ("parent_family_no", pa.int64()), ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))])
         for b in batches:
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -136,28 +149,44 @@ def _shred(table: dict[str, str]):
                 if not isinstance(top, (dict, list)):
                     continue
                 numbers: dict[str, int] = {}
-                # node, name, holding row (table, number), names and values of the holding row, path inside it
-                stack: list[tuple] = [(top, ROOT, None, None, "")]
+                members = 0
+
+                def new_row(own: str, name: str, holder: tuple, no: int | None) -> tuple:
+                    """A row of a table: (table, number, family number, names, values)."""
+                    at = numbers.get(own, 0)
+                    numbers[own] = at + 1
+                    row = (own, at, no, [], [])
+                    if only is None or own in only:
+                        out.append((key, own, name, at, holder[0], holder[1], no, holder[2], row[3], row[4]))
+                    return row
+
+                # node, its name, the row that holds it, path inside that row
+                stack: list[tuple] = [(top, ROOT, None, "")]
                 while stack:
-                    node, name, holder, row, path = stack.pop()
+                    node, name, row, path = stack.pop()
                     if isinstance(node, list):
-                        stack.extend((_unquote(x), name, holder, row, path) for x in reversed(node) if isinstance(_unquote(x), (dict, list)))
+                        stack.extend((_unquote(x), name, row, path) for x in reversed(node))
+                        continue
+                    holder = row or (None, -1, None)
+                    own = table.get(name)
+                    if not isinstance(node, dict):  # a value of a list
+                        names, vals = new_row(own or name, name, holder, None)[3:]
+                        names.append(VALUE)
+                        vals.append(node if node is None or isinstance(node, str) else json.dumps(node, ensure_ascii=False))
                         continue
-                    own = ROOT if row is None else table.get(name)
-                    if own is not None and not (own == ROOT and row is not None):
-                        no = numbers.get(own, 0)
-                        numbers[own] = no + 1
-                        row = ([], [])
-                        out.append((key, own, name, no, holder[0] if holder else None, holder[1] if holder else -1, row[0], row[1]))
-                        holder, path = (own, no), ""
+                    if row is None or own is not None:
+                        no = None
+                        if row is not None and name in family:
+                            no, members = members, members + 1
+                        row, path = new_row(own or ROOT if row is not None else ROOT, name, holder, no), ""
                     deeper = []
                     for k, v in node.items():
                         v = _unquote(v)
-                        if isinstance(v, dict) or isinstance(v, list) and _has_objects(v):
-                            deeper.append((v, k, holder, row, f"{path}{k}."))
+                        if isinstance(v, (dict, list)):
+                            deeper.append((v, k, row, f"{path}{k}."))
                         else:
-                            row[0].append(path + k)
-                            row[1].append(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False))
+                            row[3].append(path + k)
+                            row[4].append(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False))
                     stack.extend(reversed(deeper))
             cols = list(zip(*out)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -165,17 +194,63 @@ def _shred(table: dict[str, str]):
     return run
 
 
-def shred(records: DataFrame, id_col: str, json_col: str, table: dict[str, str]) -> DataFrame:
-    """One row per row of every flat table: _id, table, element, row_no, parent_table, parent_no, names, vals (inlined members by path)."""
-    return records.select(F.col(id_col).cast("long"), json_col).mapInArrow(_shred(table), "_id long, table string, element string, row_no long, parent_table string, parent_no long, names array<string>, vals array<string>")
+def shred(records: DataFrame, id_col: str, json_col: str, table: dict[str, str], family: tuple[str, ...] = (), only: frozenset[str] | None = None) -> DataFrame:
+    """One row per row of every flat table (or those of `only`): key, table, element, number in the table, parent row, number among the elements of `family` and that of the parent, names and vals (inlined members by path)."""
+    return records.select(F.col(id_col).cast("long"), json_col).mapInArrow(_shred(table, frozenset(family), only), ROWS)
 
 
-def inline_tables(records: DataFrame, id_col: str, json_col: str) -> tuple[DataFrame, dict[str, str]]:
+def schema_edges(records: DataFrame, json_col: str) -> list[tuple[str, str, str, int, int]]:
     edges = schema_graph(records, json_col).limit(MAX_SCHEMA_EDGES + 1).collect()
     if len(edges) > MAX_SCHEMA_EDGES:
         raise ValueError("the records have no schema: too many pairs of names")
-    table = plan_tables([tuple(e) for e in edges])
-    return shred(records, id_col, json_col, table), table
+    return [tuple(e) for e in edges]
+
+
+def table_columns(edges: list[tuple[str, str, str, int, int]], table: dict[str, str]) -> dict[str, dict[str, str]]:
+    """table -> path of member -> type: double where all values are numbers, boolean where all are, else string."""
+    below: dict[str, list[tuple[str, str]]] = {}
+    for p, c, k, *_ in edges:
+        below.setdefault(p, []).append((c, k))
+    kinds: dict[str, dict[str, set[str]]] = {ROOT: {}}
+    for top in [ROOT, *table]:
+        own = kinds.setdefault(table.get(top, top), {})
+        todo = [(top, "")]
+        while todo:
+            name, path = todo.pop()
+            for c, k in below.get(name, []):
+                if k != "object":
+                    own.setdefault(path + c, set()).add(k)
+                elif c not in table:
+                    todo.append((c, f"{path}{c}."))
+    of = {"number": "double", "boolean": "boolean"}
+    return {t: {c: of.get(next(iter(k - {"null"})), "string") if len(k - {"null"}) == 1 else "string" for c, k in sorted(cols.items())} for t, cols in kinds.items()}
+
+
+def flat_tables(records: DataFrame, id_col: str, json_col: str) -> dict[str, DataFrame]:
+    """name -> table: id_col, row_no (with id_col its key), parent_table and parent_no (the foreign key), element, and one typed column per member; names that differ in case only, or clash with the first columns, get a number."""
+    edges = schema_edges(records, json_col)
+    table = plan_tables(edges)
+    rows = materialize(shred(records, id_col, json_col, table))
+    out = {}
+    for name, columns in table_columns(edges, table).items():
+        taken, members = {id_col.lower(), "row_no", "parent_table", "parent_no", "element"}, []
+        own = F.map_from_arrays("names", "vals")
+        for c, kind in columns.items():
+            title, n = c, 1
+            while title.lower() in taken:
+                n += 1
+                title = f"{c}_{n}"
+            taken.add(title.lower())
+            members.append(F.col("_own")[c].try_cast(kind).alias(title) if kind != "string" else F.col("_own")[c].alias(title))
+        out[name] = rows.filter(F.col("table") == name).withColumn("_own", own).select(F.col("_id").alias(id_col), "row_no", "parent_table", "parent_no", "element", *members).dropDuplicates([id_col, "row_no"])
+    return out
+
+
+def inline_tables(records: DataFrame, id_col: str, json_col: str, family: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The shredded rows (of the tables of the elements `only`) and the table of each element."""
+    table = plan_tables(schema_edges(records, json_col), always=family)
+    wanted = None if only is None else frozenset(table.get(e, e) for e in only)
+    return shred(records, id_col, json_col, table, family, wanted), table
 
 
 def member(name: str, depth: int = 1) -> Column:
@@ -191,20 +266,18 @@ YES = ["true", "1", "1.0", "да", "yes", "y", "t", "истина", "найде
 NO = ["false", "0", "0.0", "нет", "no", "n", "f", "ложь", "не найдено", "off"]
 
 
+ATTEMPTS = ("attempts", "retries")
+
+
 def attempts_table(logs: DataFrame) -> DataFrame:
     """log_id, attempt_no, parent_no (-1 where it is no retry), code string, pages_scanned bigint, found boolean, location, stage string."""
-    rows, table = inline_tables(logs, "log_id", "details")
-    names = [e for e in ("attempts", "retries") if e in table]
-    own = {table[e] for e in names}
-    if not own:
-        own = {"attempts"}
-    # attempts and retries may be one table or two: numbers count over both in reading order only when they are one
-    a = rows.filter(F.col("table").isin(list(own)))
+    rows, _ = inline_tables(logs, "log_id", "details", ATTEMPTS, ATTEMPTS)
+    a = rows.filter(F.col("family_no").isNotNull() & ((F.col("element") == "attempts") | F.col("parent_family_no").isNotNull()))
     flag = F.lower(F.trim(member("found")))
     return a.select(
         F.col("_id").alias("log_id"),
-        F.col("row_no").alias("attempt_no"),
-        F.when((F.col("element") == "retries") & F.col("parent_table").isin(list(own)), F.col("parent_no")).otherwise(F.lit(-1).cast("long")).alias("parent_no"),
+        F.col("family_no").alias("attempt_no"),
+        F.when((F.col("element") == "retries") & F.col("parent_family_no").isNotNull(), F.col("parent_family_no")).otherwise(F.lit(-1).cast("long")).alias("parent_no"),
         member("code", 0).alias("code"),
         F.floor(F.trim(member("pages_scanned")).try_cast("double")).cast("long").alias("pages_scanned"),
         F.when(flag.isin(YES), True).when(flag.isin(NO), False).alias("found"),
@@ -220,6 +293,8 @@ def attempt_cases(logs: DataFrame) -> DataFrame:
 
 def log_table(logs: DataFrame) -> DataFrame:
     """log_id with the inlined members of the record itself: status, note, run_no and the number of attempts."""
-    rows, table = inline_tables(logs, "log_id", "details")
-    root = rows.filter(F.col("table") == ROOT)
-    return root.select(F.col("_id").alias("log_id"), member("status", 0).alias("status"), member("note", 0).alias("note"), member("run_no").try_cast("long").alias("run_no")).distinct()
+    rows, _ = inline_tables(logs, "log_id", "details", ATTEMPTS, (ROOT, *ATTEMPTS))
+    one = rows.filter(F.col("row_no").isNotNull()).groupBy(F.col("_id").alias("log_id"))
+    first = lambda c: F.max(F.when(F.col("table") == ROOT, c))
+    number = F.when(F.col("family_no").isNotNull() & ((F.col("element") == "attempts") | F.col("parent_family_no").isNotNull()), F.col("family_no"))
+    return one.agg(first(member("status", 0)).alias("status"), first(member("note", 0)).alias("note"), first(member("run_no").try_cast("long")).alias("run_no"), F.count_distinct(number).alias("n_attempts"))

@@ -44,6 +44,34 @@ def test_plan_inlines_singletons():
     assert t["attempts"] == t["retries"] and t["hits"] == "hits" and "result" not in t
 
 
+def test_attempts_and_retries_of_other_members_are_numbered_in_one_walk(spark):
+    retry = {"code": "R", "found": True, "pages_scanned": 2}
+    other = {"code": "O", "found": True, "pages_scanned": 1, "a": 1, "b": 2, "c": 3, "d": 4, "e": 5, "f": 6}
+    log = {"retries": [retry], "attempts": [other | {"retries": [retry | {"retries": [retry]}]}, "skipped", 7, None, other]}
+    df = spark.createDataFrame([(1, json.dumps(log), 0, "x"), (1, json.dumps(log), 0, "x")], SCHEMA)
+    t = N.inline_tables(df, "log_id", "details", N.ATTEMPTS)[1]
+    assert t["attempts"] != t["retries"]
+    # the first retries are of no attempt
+    assert {(r.attempt_no, r.parent_no, r.code) for r in N.attempts_table(df).collect()} == {(1, -1, "O"), (2, 1, "R"), (3, 2, "R"), (4, -1, "O")}
+    assert [r.n_attempts for r in N.log_table(df).collect()] == [4]
+
+
+def test_flat_tables_keep_every_value(spark):
+    log = {"status": "ok", "Status": 5, "row_no": True, "attempts": [{"code": "A", "n": 1, "tags": ["x", 2]}, "note", 7, {"code": "B", "n": None, "at": {"x": 1.5}}], "empty": [], "list": [[1], [{"k": 1}]]}
+    df = spark.createDataFrame([(1, json.dumps(log), 0, "x"), (2, json.dumps({"status": None, "attempts": []}), 0, "x"), (2, json.dumps({"status": None, "attempts": []}), 0, "x")], SCHEMA)
+    t = N.flat_tables(df, "log_id", "details")
+    assert dict(t["attempts"].dtypes) == {"log_id": "bigint", "row_no": "bigint", "parent_table": "string", "parent_no": "bigint", "element": "string", "at.x": "double", "code": "string", "n": "double", "value": "string"}
+    a = {r.row_no: r for r in t["attempts"].collect()}
+    assert [a[i]["value"] for i in range(4)] == [None, "note", "7", None] and a[3]["at.x"] == 1.5 and a[0]["n"] == 1.0
+    assert {(r.parent_table, r.parent_no, r["value"]) for r in t["tags"].collect()} == {("attempts", 0, "x"), ("attempts", 0, "2")}
+    root = {r.log_id: r for r in t["$"].collect()}
+    assert set(root) == {1, 2} and root[1]["status_2"] == "ok" and root[1]["Status"] == 5.0 and root[1]["row_no_2"] is True
+    assert sorted((r["k"], r["value"]) for r in t["list"].collect() if r["k"] is None) == [(None, 1.0)] and t["list"].count() == 2
+    parents = {(r.log_id, name, r.row_no) for name, x in t.items() for r in x.select("log_id", "row_no").collect()}
+    for x in t.values():
+        assert all((r.log_id, r.parent_table, r.parent_no) in parents for r in x.filter("parent_no >= 0").collect())
+
+
 def test_parent_links(spark, data):
     rows = N.attempts_table(spark.read.parquet(f"{data}/audit_log.parquet")).distinct()
     rows.createOrReplaceTempView("att")
