@@ -12,10 +12,20 @@ from pyspark.sql.types import DoubleType, LongType, StringType
 
 from dossia.functions.chars import plain
 
-# Endings of the light stemmer, longest first.
-RU_ENDINGS = ["иями", "ями", "ами", "ого", "его", "ому", "ему", "ыми", "ими", "ией", "ей", "ой", "ий", "ый", "ая", "яя", "ое", "ее", "ые", "ие", "ам", "ям", "ах", "ях", "ом", "ем", "ов", "ев", "ы", "и", "а", "я", "о", "е", "у", "ю", "ь"]
+# Endings of the light stemmer.
+RU_ENDINGS = [
+    "иями", "ями", "ами", "его", "ого", "ему", "ому", "ими", "ыми", "ией", "ия", "ья", "ье", "ью",
+    "ах", "ях", "ов", "ев", "ей", "ой", "ый", "ий", "ая", "яя", "ое", "ее", "ую", "юю", "ам", "ям",
+    "ом", "ем", "ым", "им", "ых", "их", "ою", "ею", "ы", "и", "а", "я", "о", "е", "у", "ю",
+]
 # Words without content in questions.
-STOPWORDS = ["и", "в", "во", "на", "по", "с", "со", "к", "о", "об", "от", "до", "из", "за", "для", "не", "а", "но", "или", "что", "как", "the", "of", "in", "and", "to", "a", "is"]
+STOPWORDS = [
+    "и", "в", "во", "на", "по", "с", "со", "к", "ко", "у", "из", "за", "для", "о", "об", "от", "до", "под",
+    "как", "что", "это", "ли", "или", "а", "но", "не", "над", "при", "про", "без", "стр", "страница",
+    "где", "какой", "какая", "какие", "какое", "который", "которая", "которые", "есть", "нет", "нужно", "надо",
+    "найди", "покажи", "скажи", "расскажи", "документ", "документы", "документация", "проект", "проектный",
+    "the", "and", "for", "with", "from", "page", "file", "document", "project",
+]
 
 
 def search_text(c: Column) -> Column:
@@ -25,7 +35,7 @@ def search_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Distinct tokens of two characters and more in order, without stop words."""
-    raw = F.regexp_extract_all(search_text(c), F.lit(r"[0-9a-zа-я]+(?:[-_/][0-9a-zа-я]+)*"), F.lit(0))
+    raw = F.regexp_extract_all(search_text(c), F.lit(r"[0-9a-zа-я]+(?:[-_/.][0-9a-zа-я]+)*"), F.lit(0))
     return F.filter(F.array_distinct(raw), lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 

@@ -61,18 +61,26 @@ def _augment(left: dict, start, seen: set, owner: dict) -> bool:
 
 
 def max_matching(edges: DataFrame, group: str, left: str, right: str) -> DataFrame:
-    """group, matched: the size of a maximum one-to-one matching of each group's edges (groups are small by the block key)."""
+    """group, matched: the size of a maximum one-to-one matching of each group's edges, worked out component by component.
+
+    A component is in one task: what is joined by edges cannot be matched apart.
+    """
+    named = edges.select(group, F.concat(F.lit("l"), F.col(left).cast("string")).alias("_l"), F.concat(F.lit("r"), F.col(right).cast("string")).alias("_r")).distinct()
+    named = named.select(group, *[F.concat_ws("/", F.col(group).cast("string"), c).alias(c) for c in ("_l", "_r")])
+    parts = components(named, "_l", "_r")
+    whole = named.join(parts.select(F.col("node").alias("_l"), "component"), "_l")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         adj: dict = {}
-        for x, y in zip(pdf[left], pdf[right]):
+        for x, y in zip(pdf["_l"], pdf["_r"]):
             adj.setdefault(x, []).append(y)
         owner: dict = {}
         n = sum(_augment(adj, x, set(), owner) for x in sorted(adj))
         return pd.DataFrame({group: [pdf[group].iloc[0]], "matched": [n]})
 
     kind = dict(edges.dtypes)[group]
-    return edges.select(group, left, right).distinct().groupBy(group).applyInPandas(run, f"{group} {kind}, matched long")
+    each = whole.groupBy("component").applyInPandas(run, f"{group} {kind}, matched long")
+    return each.groupBy(group).agg(F.sum("matched").alias("matched"))
 
 
 def nearest(left: DataFrame, right: DataFrame, block: str, value: str, left_id: str, right_id: str) -> DataFrame:

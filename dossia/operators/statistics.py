@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossia.functions.text import word_distance
+
 Z95 = 1.959963984540054
 
 
@@ -17,12 +19,19 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)), F.when(n > 0, F.least(F.lit(1.0), centre + half))
 
 
-def mad_outliers(df: DataFrame, keys: list[str], value: str, least: int = 6, z: float = 4.5) -> DataFrame:
-    """Rows of groups of `least` and more whose robust z (0.6745 times the distance from the median by the median distance) is z or more."""
+def mad_outliers(df: DataFrame, keys: list[str], value: str, least: int = 6, z: float = 4.5, spread: float = 0.5) -> DataFrame:
+    """Rows of groups of `least` and more that are z robust deviations (1.4826 times the median distance) and `spread` of the median away from it; none where the median or that distance is 0 or less."""
     med = df.groupBy(*keys).agg(F.median(value).alias("med"), F.count(value).alias("n")).filter(F.col("n") >= least)
     dev = df.join(med, keys).withColumn("dev", F.abs(F.col(value) - F.col("med")))
     mad = dev.groupBy(*keys).agg(F.median("dev").alias("mad"))
-    return dev.join(mad, keys).withColumn("z", F.when(F.col("mad") > 0, F.col("dev") / (F.col("mad") * 1.4826))).filter(F.col("z") >= z)
+    return dev.join(mad, keys).withColumn("z", F.when(F.col("mad") > 0, F.col("dev") / (F.col("mad") * 1.4826))).filter((F.col("z") >= z) & (F.col("med") > 0) & (F.col("dev") >= spread * F.col("med")))
+
+
+def reading_errors(df: DataFrame, by: str, reference: str, read: str) -> DataFrame:
+    """by, edits, chars, cer, word_edits, words, wer: edits by characters (code points) and by words of the reference."""
+    words = F.size(F.filter(F.split(F.col(reference), r"\s+"), lambda w: w != ""))
+    g = df.select(by, F.levenshtein(F.col(read), F.col(reference)).alias("_e"), F.length(reference).alias("_c"), word_distance(F.col(reference), F.col(read)).alias("_we"), words.alias("_w")).groupBy(by).agg(F.sum("_e").alias("edits"), F.sum("_c").alias("chars"), F.sum("_we").alias("word_edits"), F.sum("_w").alias("words"))
+    return g.select(by, "edits", "chars", F.round(F.col("edits") / F.nullif("chars", F.lit(0)), 6).alias("cer"), "word_edits", "words", F.round(F.col("word_edits") / F.nullif("words", F.lit(0)), 6).alias("wer"))
 
 
 def confusion(df: DataFrame, by: list[str], predicted: Column, actual: Column) -> DataFrame:

@@ -336,6 +336,14 @@ def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def few(values: DataFrame, limit: int) -> list:
+    """The values of a column on the driver, in order; an error if there are more than `limit`."""
+    rows = [r[0] for r in values.limit(limit + 1).collect()]
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} values of {values.columns[0]}")
+    return sorted(rows, key=lambda x: (x is not None, x))
+
+
 def learn_conversions(read: DataFrame, targets: list[str]) -> dict[str, tuple[float, float]]:
     """Links of the readings (value against normalised value) -> estimates -> graph -> conversions to those targets that are in the table or joined to it."""
     links = read.filter(F.col("own") & F.col("norm_key").isNotNull()).select(F.col("unit_key").alias("source_a"), F.col("norm_key").alias("source_b"), F.col("number").alias("a"), F.col("norm_number").alias("b"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossia.session import materialize
@@ -20,43 +20,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def nearest_vectors(base: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", least: float | None = None, max_queries: int = 1_000_000) -> DataFrame:
+BLOCK_BYTES = 32 << 20
+
+
+def nearest_vectors(base: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", least: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, key, score, rank: the k base rows with the largest cosine for every query.
 
-    Queries are held as one matrix, in blocks, against each batch of the base: every batch
-    yields at most k rows a query, then one aggregation keeps the best k.  The matrix is a
-    broadcast of checked size (max_queries rows).
+    Queries are cut by hash into blocks of at most about block_bytes, each a matrix that is broadcast and held against
+    the batches of one pass over the base; a task keeps the best k of its batches, and the best of all tasks are ranked
+    with a limit before the shuffle.  Null, empty and zero vectors and vectors of another length than most queries have
+    no neighbours.
     """
     spark = base.sparkSession
-    q = queries.filter(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("query_id"), vec).limit(max_queries + 1).collect()
-    if len(q) > max_queries:
-        raise ValueError("too many queries for one matrix; pass them in parts")
-    ids = np.array([r.query_id for r in q], dtype=np.int64)
-    m = np.array([r[vec] for r in q], dtype=np.float64) if q else np.zeros((0, 1))
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast((ids, m))
+    usable = queries.filter(F.col(vec).isNotNull() & F.col(key).isNotNull() & (F.size(vec) > 0)).select(F.col(key).cast("long").alias("query_id"), vec)
+    n, dim = usable.agg(F.count("*"), F.mode(F.size(vec))).first()
+    usable = usable.filter(F.size(vec) == (dim or 0))
+    blocks = max(1, -(-n * (dim or 1) * 8 * 2 // block_bytes))  # twice: hashed blocks are not all alike
+    hits = None
+    for b in range(blocks):
+        q = usable.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else usable.collect()
+        ids = np.array([r.query_id for r in q], dtype=np.int64)
+        m = np.array([r[vec] for r in q], dtype=np.float64).reshape(len(q), dim or 0)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        m = m / np.where(norm > 0, norm, np.nan)
+        part = base.filter(F.size(vec) == (dim or 0)).select(F.col(key).cast("long").alias(key), vec).mapInPandas(_held_against(spark.sparkContext.broadcast((ids, m)), k, vec, key), f"query_id long, {key} long, score double")
+        hits = part if hits is None else hits.unionByName(part)
+    if least is not None:
+        hits = hits.filter(F.col("score") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
+
+def _held_against(shared, k: int, vec: str, key: str):
     def run(batches):
         qid, qm = shared.value
+        best_s = np.full((len(qid), k), -2.0)
+        best_k = np.zeros((len(qid), k), dtype=np.int64)
         for pdf in batches:
-            pdf = pdf[pdf[vec].notna() & pdf[key].notna()]
+            pdf = pdf[pdf[key].notna()]
             if not len(pdf) or not len(qid):
                 continue
             b = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+            norm = np.linalg.norm(b, axis=1, keepdims=True)
+            b /= np.where(norm > 0, norm, np.nan)
             keys = pdf[key].to_numpy(dtype=np.int64)
             for lo in range(0, len(qid), 512):
-                s = np.round(qm[lo : lo + 512] @ b.T, 9)
+                s = np.nan_to_num(np.round(qm[lo : lo + 512] @ b.T, 9), nan=-2.0)
                 s[qid[lo : lo + 512, None] == keys[None, :]] = -2.0  # not its own neighbour
-                top = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(s)), top.shape[1])
-                yield pd.DataFrame({"query_id": qid[lo : lo + 512][rows], key: keys[top.ravel()], "score": s[rows, top.ravel()]})
-
-    hits = base.select(key, vec).mapInPandas(run, f"query_id long, {key} long, score double").filter("score > -2")
-    if least is not None:
-        hits = hits.filter(F.col("score") >= least)
-    best = hits.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), F.col(key).alias("id")))), 1, k).alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("rank", "x")).select("query_id", F.col("x.id").alias(key), (-F.col("x.minus")).alias("score"), (F.col("rank") + 1).alias("rank"))
+                s = np.concatenate([best_s[lo : lo + 512], s], axis=1)
+                ks = np.concatenate([best_k[lo : lo + 512], np.broadcast_to(keys, (len(s), len(keys)))], axis=1)
+                top = np.lexsort((ks, -s), axis=1)[:, :k]
+                best_s[lo : lo + 512] = np.take_along_axis(s, top, axis=1)
+                best_k[lo : lo + 512] = np.take_along_axis(ks, top, axis=1)
+        at = np.nonzero(best_s > -2)
+        yield pd.DataFrame({"query_id": qid[at[0]], key: best_k[at], "score": best_s[at]})
+
+    return run
 
 
 def _leaders(vectors: list[np.ndarray], threshold: float) -> tuple[list[int], list[np.ndarray]]:

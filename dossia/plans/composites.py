@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dossia.functions import text as T
 from dossia.operators import compare as C
 from dossia.operators import entities, statistics, units, vectors
-from dossia.operators.units import small
+from dossia.operators.ordered import lag_by, ranks_by
+from dossia.operators.units import few, small
 from dossia.plans import relational as R
 from dossia.plans.relational import O, SQLNUM, V, number, observations, versions
 from dossia.session import table
@@ -270,7 +271,7 @@ select p.page_id, m.code from (select distinct on (page_id) * from ocr_pages) p,
 """)
 def doc05_tagging(spark, d):
     """Parameters whose anchor stands on a page: one automaton of all anchors over each text, no pairs of pages and parameters."""
-    anchors = [(r.code, r.anchor) for r in params(spark, d).select("code", F.lower(F.trim(F.regexp_extract("parameter_name", r"^([^(]+)", 1))).alias("anchor")).limit(100_000).collect()]
+    anchors = [(r.code, r.anchor) for r in few(params(spark, d).select(F.struct("code", F.lower(F.trim(F.regexp_extract("parameter_name", r"^([^(]+)", 1))).alias("anchor"))), 100_000)]
     pages = table(spark, d, "ocr_pages").dropDuplicates(["page_id"]).filter("text is not null")
     return entities.tag_texts(pages, "page_id", "text", anchors).select("page_id", "code").distinct()
 
@@ -340,9 +341,9 @@ select observation_id, parameter_code || coalesce(' @ ' || lower(trim(location))
 """)
 def rev04_export_identity(spark, d):
     """One name a finding: the strongest of a place has it, the others a number behind it."""
-    w = Window.partitionBy("parameter_code", F.lower(F.trim("location"))).orderBy(F.col("confidence").desc_nulls_last(), "observation_id")
-    o = observations(spark, d).withColumn("rn", F.row_number().over(w))
-    place = F.coalesce(F.concat(F.lit(" @ "), F.lower(F.trim("location"))), F.lit(""))
+    o = observations(spark, d).select("observation_id", "parameter_code", F.lower(F.trim("location")).alias("place"), F.coalesce(-F.col("confidence"), F.lit(1.0)).alias("weak"))
+    o = ranks_by(o, ["parameter_code", "place"], ["weak", "observation_id"], "rn")
+    place = F.coalesce(F.concat(F.lit(" @ "), "place"), F.lit(""))
     return o.select("observation_id", F.concat("parameter_code", place, F.when(F.col("rn") > 1, F.concat(F.lit(" #"), F.col("rn").cast("string"))).otherwise(F.lit(""))).alias("export_id"))
 
 
@@ -363,7 +364,7 @@ select observation_id, case when location is null or other is null then 'NONE' w
 """)
 def rev11_location_match(spark, d):
     """How well two places agree."""
-    o = observations(spark, d).withColumn("other", F.lag("location").over(Window.partitionBy("parameter_code").orderBy("observation_id")))
+    o = lag_by(observations(spark, d).select("observation_id", "parameter_code", "location"), ["parameter_code"], ["observation_id"], {"other": "location"})
     a, b = F.col("location"), F.col("other")
     head = lambda c: F.regexp_extract(c, "^([^0-9]+)", 1)
     level = F.when(a.isNull() | b.isNull(), "NONE").when(F.lower(F.trim(a)) == F.lower(F.trim(b)), "STRICT").when(head(a) == head(b), "LOOSE").otherwise("NONE")
@@ -382,15 +383,8 @@ def snk06_flat_evidence(spark, d):
     return observations(spark, d).filter("bbox_normalized is not null").select("observation_id", F.posexplode("bbox_normalized").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"select parameter_code, dataset_stage, list_sort(list(distinct o.document_version_id)) as docs, max(confidence) as confidence from {O} o join {V} v on v.id = o.document_version_id where v.object_id = 'OBJ-0000010' group by 1, 2")
-def snk08_collapse(spark, d):
-    """Checks of one parameter merged, evidence united."""
-    v = versions(spark, d).filter("object_id = 'OBJ-0000010'").select(F.col("id").alias("document_version_id"), "dataset_stage")
-    return observations(spark, d).join(v, "document_version_id").groupBy("parameter_code", "dataset_stage").agg(F.array_sort(F.collect_set("document_version_id")).alias("docs"), F.max("confidence").alias("confidence"))
-
-
 @query(f"select object_id, parameter_code, dataset_stage, list_sort(list(distinct o.document_version_id)) as docs, max(confidence) as confidence from {O} o join {V} v on v.id = o.document_version_id group by 1, 2, 3")
-def snk08_collapse_all(spark, d):
+def snk08_collapse(spark, d):
     """Checks of one parameter merged, evidence united, of all objects."""
     v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id", "dataset_stage")
     return observations(spark, d).join(v, "document_version_id").groupBy("object_id", "parameter_code", "dataset_stage").agg(F.array_sort(F.collect_set("document_version_id")).alias("docs"), F.max("confidence").alias("confidence"))

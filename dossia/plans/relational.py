@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dossia.functions.text import any_date, revision_number
 from dossia.operators import compare as C
 from dossia.operators import graphs, state, statistics
-from dossia.operators.units import small
+from dossia.operators.units import few, small
 from dossia.session import materialize, table
 from dossia.sources.files import APPROVED, approved
 
@@ -386,14 +386,30 @@ def join12_components(spark, d):
     return graphs.components(e)
 
 
+@query(f"""
+with o as (select v.document_code, o.parameter_code, o.normalized_value, o.stage = 'PD' as l from {O} o join {V} v on v.id = o.document_version_id where v.document_code is not null and o.normalized_value is not null and o.stage is not null)
+select document_code, sum(least(a, b))::bigint as matched from (select document_code, parameter_code, normalized_value, count(*) filter (where l) as a, count(*) filter (where not l) as b from o group by 1, 2, 3) where least(a, b) > 0 group by 1
+""")
+def join13_equal_matching(spark, d):
+    """The largest one-to-one matching on equal parameter and value, by document code: nodes that are equal are one class, of which the smaller side is matched."""
+    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "document_code").filter("document_code is not null")
+    o = observations(spark, d).join(v, "document_version_id").filter("normalized_value is not null and stage is not null")
+    left = F.col("stage") == "PD"
+    g = o.groupBy("document_code", "parameter_code", "normalized_value").agg(F.least(F.count_if(left), F.count_if(~left)).alias("n")).filter("n > 0")
+    return g.groupBy("document_code").agg(F.sum("n").alias("matched"))
+
+
 @query()
 def join13_max_matching(spark, d):
-    """The largest one-to-one matching of two stages' observations on parameter and value, by document code."""
-    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "document_code").filter("document_code is not null")
-    o = observations(spark, d).join(v, "document_version_id").filter("normalized_value is not null")
-    a = o.filter("stage = 'PD'").select("document_code", "parameter_code", F.col("observation_id").alias("l"))
-    b = o.filter("stage <> 'PD'").select("document_code", "parameter_code", F.col("observation_id").alias("r"))
-    return graphs.max_matching(a.join(b, ["document_code", "parameter_code"]), "document_code", "l", "r")
+    """The largest one-to-one matching of two stages' observations of a parameter within one percent, by object; tested by brute force."""
+    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id").filter("object_id is not null")
+    o = observations(spark, d).join(v, "document_version_id").select("object_id", "parameter_code", "stage", "observation_id", number("normalized_value").alias("v")).filter("v > 0 and stage is not null")
+    # values within one percent share a step of the logarithm, or stand in neighbouring ones
+    o = o.withColumn("step", F.floor(F.log("v") / 0.01))
+    a = o.filter("stage = 'PD'").select("object_id", "parameter_code", "step", F.col("observation_id").alias("l"), F.col("v").alias("vl"))
+    b = o.filter("stage <> 'PD'").select("object_id", "parameter_code", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.col("observation_id").alias("r"), F.col("v").alias("vr"))
+    e = a.join(b, ["object_id", "parameter_code", "step"]).filter("abs(vl - vr) <= 0.01 * least(vl, vr)").select("object_id", "l", "r").distinct()
+    return graphs.max_matching(e, "object_id", "l", "r")
 
 
 @query(f"""
@@ -484,14 +500,15 @@ def agg05_wilson(spark, d):
     return g.select("extractor", "k", "n", F.round(lo, 6).alias("low"), F.round(hi, 6).alias("high"))
 
 
-@query("""
-with m as (select l_partkey, median(l_extendedprice) as med, count(*) as n from lineitem group by 1 having count(*) >= 6), a as (select l.l_orderkey, l.l_linenumber, l.l_partkey, abs(l_extendedprice - med) as dev from lineitem l join m using (l_partkey)),
-b as (select l_partkey, median(dev) as mad from a group by 1) select l_orderkey, l_linenumber, l_partkey, round(dev / (mad * 1.4826), 4) as z from a join b using (l_partkey) where mad > 0 and dev / (mad * 1.4826) >= 2.5
+@query(f"""
+with x as (select observation_id, parameter_code, v from (select observation_id, parameter_code, {SQLNUM} as v from {O}) where v is not null), m as (select parameter_code, median(v) as med, count(*) as n from x group by 1 having count(*) >= 6),
+a as (select x.*, med, abs(v - med) as dev from x join m using (parameter_code)), b as (select parameter_code, median(dev) * 1.4826 as mad from a group by 1)
+select observation_id, round(dev / mad, 4) as z from a join b using (parameter_code) where mad > 0 and med > 0 and dev / mad >= 4.5 and dev >= 0.5 * med
 """)
 def agg06_mad_outliers(spark, d):
-    """Values far from the median of their group, by the median distance."""
-    x = statistics.mad_outliers(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), ["l_partkey"], "l_extendedprice", z=2.5)
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.round("z", 4).alias("z"))
+    """Values far from the median of their parameter, by the median distance and by a share of the median."""
+    o = observations(spark, d).select("observation_id", "parameter_code", number("normalized_value").alias("v")).filter("v is not null")
+    return statistics.mad_outliers(o, ["parameter_code"], "v").select("observation_id", F.round("z", 4).alias("z"))
 
 
 @query("""
@@ -517,12 +534,11 @@ def agg08_confusion(spark, d):
     return statistics.confusion(o, ["extractor"], F.coalesce(F.col("confidence") >= 0.75, F.lit(False)), F.col("normalized_value").isNotNull())
 
 
-@query("select parameter_code, sum(levenshtein(coalesce(value, ''), normalized_value)) as edits, sum(length(normalized_value)) as chars, round(sum(levenshtein(coalesce(value, ''), normalized_value))::double / nullif(sum(length(normalized_value)), 0), 6) as cer from " + O + " where normalized_value is not null and regexp_full_match(coalesce(value, '') || normalized_value, '[ -~]*') group by 1")
+@query()
 def agg09_character_errors(spark, d):
-    """Edits by characters of the reference, over readings in ASCII (the SQL engine counts bytes)."""
-    o = observations(spark, d).filter("normalized_value is not null").filter(F.concat(F.coalesce("value", F.lit("")), "normalized_value").rlike("^[ -~]*$"))
-    g = o.groupBy("parameter_code").agg(F.sum(F.levenshtein(F.coalesce("value", F.lit("")), "normalized_value")).alias("edits"), F.sum(F.length("normalized_value")).alias("chars"))
-    return g.select("parameter_code", "edits", "chars", F.round(F.col("edits") / F.nullif("chars", F.lit(0)), 6).alias("cer"))
+    """Edits by characters and by words of the reference, over all readings; tested by brute force (the SQL engine counts bytes)."""
+    o = observations(spark, d).filter("normalized_value is not null").select("parameter_code", F.coalesce("value", F.lit("")).alias("read"), F.col("normalized_value").alias("reference"))
+    return statistics.reading_errors(o, "parameter_code", "reference", "read")
 
 
 @query("""
@@ -574,7 +590,7 @@ def agg15_completeness(spark, d):
     """Every object with every stage of the (few) stages there are, present or not: stages as an array, not a join."""
     v = versions(spark, d)
     n = v.groupBy("object_id", "dataset_stage").agg(F.count("*").alias("n"))
-    stages = [r[0] for r in v.select("dataset_stage").distinct().orderBy("dataset_stage").limit(1000).collect()]
+    stages = few(v.select("dataset_stage").distinct(), 1_000)
     want = v.select("object_id").distinct().select("object_id", F.explode(F.array(*[F.lit(s) for s in stages])).alias("dataset_stage"))
     j = want.join(n, ["object_id", "dataset_stage"], "left")
     return j.select("object_id", "dataset_stage", F.when(F.col("n").isNull(), "MISSING").when(F.col("n") == 1, "SINGLE").otherwise("MANY").alias("status"))
@@ -649,9 +665,9 @@ select id, list_sort(list(code)) as missing from (select a.id, p.code from (sele
 """)
 def set01_missing(spark, d):
     """Expected parameters of a version that were not read: arrays, no join of all pairs."""
-    codes = F.array(*[F.lit(r[0]) for r in table(spark, d, "matrix_params").filter("source_id").select("code").distinct().orderBy("code").limit(100_000).collect()])
+    codes = F.lit(few(table(spark, d, "matrix_params").filter("source_id").select("code").distinct(), 100_000) or None).cast("array<string>")
     got = table(spark, d, "rule_observations").groupBy(F.col("document_version_id").alias("id")).agg(F.collect_set("parameter_code").alias("got"))
-    j = versions(spark, d).select("id").join(got, "id", "left").select("id", F.array_sort(F.array_except(codes, F.coalesce("got", F.array().cast("array<string>")))).alias("missing"))
+    j = versions(spark, d).select("id").join(got, "id", "left").select("id", F.array_sort(F.array_except(F.coalesce(codes, F.array().cast("array<string>")), F.coalesce("got", F.array().cast("array<string>")))).alias("missing"))
     return j.filter(F.size("missing") > 0)
 
 

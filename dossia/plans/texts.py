@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from dossia.functions import text as T
 from dossia.operators import layout, retrieval, statistics, vectors
+from dossia.operators.ordered import lag_by
+from dossia.operators.units import small
 from dossia.plans.relational import O, V, observations, versions
 from dossia.session import shared_dir, table
 from dossia.sources import files, outputs
@@ -33,16 +35,9 @@ _NORM = "trim(regexp_replace(translate(lower({c}), 'ё–—‑', 'е---'), '\\s
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
-@query(f"select observation_id, {_NORM.format(c='context')} as body from {O} where context is not null and not regexp_matches(context, '[^\\x00-\\x7Fа-яА-ЯёЁ‰²³№«»—–¬]')")
-def str01_normalize(spark, d):
-    """One form for search: case, ё, dashes, blanks."""
-    o = observations(spark, d).filter("context is not null").filter(~F.col("context").rlike(r"[^\x00-\x7Fа-яА-ЯёЁ‰²³№«»—–¬]"))
-    return o.select("observation_id", T.search_text(F.col("context")).alias("body"))
-
-
 @query()
-def str01_normalize_all(spark, d):
-    """The same over all contexts, those with characters the SQL of the former has no rule for too; tested by brute force."""
+def str01_normalize(spark, d):
+    """One form for search over all contexts: case, ё, dashes, blanks of any kind, accents; tested by brute force."""
     return observations(spark, d).filter("context is not null").select("observation_id", T.search_text_any(F.col("context")).alias("body"))
 
 
@@ -68,7 +63,7 @@ def str03_stem(spark, d):
 
 
 @query(f"""
-select code, token, 1 as n from (select code, unnest(regexp_extract_all({_NORM.format(c='parameter_name')}, '[0-9a-zа-я]+(?:[-_/][0-9a-zа-я]+)*')) as token from (select distinct on (code) * from matrix_params))
+select code, token, 1 as n from (select code, unnest(regexp_extract_all({_NORM.format(c='parameter_name')}, '[0-9a-zа-я]+(?:[-_/.][0-9a-zа-я]+)*')) as token from (select distinct on (code) * from matrix_params))
 where length(token) >= 2 and token not in ({_STOP}) group by 1, 2
 """)
 def str04_tokens(spark, d):
@@ -112,13 +107,13 @@ def str10_filename_facts(spark, d):
 
 
 @query(f"""
-select o.observation_id, regexp_extract(o.value, 'В[0-9]{{2}}') as found from {O} o join (select distinct on (code) * from matrix_params) p on p.code = o.parameter_code where p.regex_pattern = 'В\\d{{2}}' and o.value is not null
+select o.observation_id, regexp_extract(o.value, p.regex_pattern) as found from {O} o join (select distinct on (code) * from matrix_params) p on p.code = o.parameter_code where p.regex_pattern is not null and o.value is not null
 """)
 def str13_column_pattern(spark, d):
-    """A pattern that comes from a column."""
+    """Patterns that come from a column, each row its own."""
     p = table(spark, d, "matrix_params").dropDuplicates(["code"]).filter("regex_pattern is not null").select(F.col("code").alias("parameter_code"), "regex_pattern")
-    o = observations(spark, d).filter("value is not null").join(F.broadcast(p) if p.count() <= 100_000 else p, "parameter_code")
-    return o.filter(F.col("regex_pattern") == r"В\d{2}").select("observation_id", F.expr("regexp_extract(value, regex_pattern, 0)").alias("found"))
+    o = observations(spark, d).filter("value is not null").join(small(p), "parameter_code")
+    return o.select("observation_id", F.expr("regexp_extract(value, regex_pattern, 0)").alias("found"))
 
 
 @query(f"select id, regexp_replace(translate(regexp_replace(lower(trim(document_code)), '^ст\\.?\\s*', ''), ',', '.'), '(^|[.\\-/])0+([0-9])', '\\1\\2', 'g') as key from {V} where document_code is not null")
@@ -179,7 +174,7 @@ select vec_id, round(list_cosine_similarity(e, p), 6) as score, round(list_inner
 """)
 def num10_cosine(spark, d):
     """Similarity to the vector before in the same class, with JVM arrays."""
-    e = table(spark, d, "embeddings").withColumn("p", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).filter("p is not null")
+    e = lag_by(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"], {"p": "embedding"}).filter("p is not null")
     return e.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("p")), 6).alias("score"), F.round(vectors.dot(F.col("embedding"), F.col("p")), 6).alias("dot"))
 
 
@@ -308,20 +303,18 @@ def job03_retries(spark, d):
     return S.attempts_batch(e, "user_id", "ts", "bad")
 
 
-@query(f"select object_id, count(*) as n_checks from (select v.object_id, o.observation_id from {O} o join {V} v on v.id = o.document_version_id where o.confidence < 0.55) group by 1")
+@query(f"""
+with f as (select v.object_id, o.parameter_code, o.location, o.observation_id, o.normalized_value, row_number() over (partition by v.object_id order by o.parameter_code nulls first, o.location nulls first, o.observation_id) - 1 as no from {O} o join {V} v on v.id = o.document_version_id where o.confidence < 0.55)
+select object_id, (no // 1000)::int as part, count(*) as n_checks, string_agg(coalesce(parameter_code, '') || '|' || coalesce(location, '') || '|' || observation_id || '|' || coalesce(normalized_value, ''), chr(10) order by no) as checks from f group by 1, 2
+""")
 def snk01_submission(spark, d):
-    """Checks of an object as one nested JSON text."""
-    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id")
-    f = observations(spark, d).filter("confidence < 0.55").join(v, "document_version_id")
-    return outputs.nested_submission(f, "object_id", ["parameter_code", "location", "observation_id", "normalized_value"]).select("object_id", "n_checks")
-
-
-@query()
-def snk01_submission_parts(spark, d):
-    """The nested JSON texts themselves, in ordered parts of at most 1 000 checks; tested by brute force."""
+    """Checks of an object as nested JSON texts, in ordered parts of at most 1 000 checks; read back from the JSON for comparison."""
     v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id")
     f = observations(spark, d).filter("confidence < 0.55").join(v, "document_version_id")
-    return outputs.nested_submission_parts(f, "object_id", ["parameter_code", "location", "observation_id", "normalized_value"])
+    parts = outputs.nested_submission_parts(f, "object_id", ["parameter_code", "location", "observation_id", "normalized_value"])
+    read = F.from_json("checks", "array<struct<parameter_code:string,location:string,observation_id:long,normalized_value:string>>")
+    line = lambda x: F.concat_ws("|", *[F.coalesce(x[c].cast("string"), F.lit("")) for c in ("parameter_code", "location", "observation_id", "normalized_value")])
+    return parts.select("object_id", F.col("part").cast("int").alias("part"), "n_checks", F.array_join(F.transform(read, line), "\n").alias("checks"))
 
 
 @query("select count(*) as n_files, sum(size) as size_bytes from (values (0, 0)) t(a, size) where a > 0")

@@ -1,6 +1,5 @@
 import json
 
-import __spark_entry__ as entry
 from dossia.sources.outputs import nested_submission_parts
 
 COLUMNS = ["code", "place", "no"]
@@ -20,12 +19,3 @@ def test_parts_are_ordered_and_hold_every_check(spark):
         got = [tuple(c.get(x) for x in COLUMNS) for p in mine for c in parts[o, p]]
         assert got == sorted((r[1:] for r in rows if r[0] == o), key=order)
         assert all(len(parts[o, p]) == 50 for p in mine[:-1])
-
-
-def test_submission_holds_the_counted_checks(spark, data):
-    q = entry.queries()
-    n: dict = {}
-    for r in q["snk01_submission_parts"](spark, data).collect():
-        assert len(json.loads(r.checks)) == r.n_checks <= 1000
-        n[r.object_id] = n.get(r.object_id, 0) + r.n_checks
-    assert n == {r.object_id: r.n_checks for r in q["snk01_submission"](spark, data).collect()}
