@@ -127,3 +127,27 @@ def word_error_parts(reference: list[str], read: list[str]) -> int:
 @F.pandas_udf(LongType())
 def word_distance(reference: pd.Series, read: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else word_error_parts(a.split(), b.split()) for a, b in zip(reference, read)], dtype="Int64")
+
+
+def utc_naive(c: Column) -> Column:
+    """A time text as UTC without a zone, whatever the zone of the session: 2024-05-31T10:00:00 with Z, an offset such as +03:00, or nothing; else null."""
+    sign = F.when(F.regexp_extract(c, r"([+-])\d\d:?\d\d$", 1) == "-", -1).otherwise(1)
+    part = lambda i: F.coalesce(F.regexp_extract(c, r"[+-](\d\d):?(\d\d)$", i).try_cast("int"), F.lit(0))
+    day = F.replace(F.substring(c, 1, 19), F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")
+    zoned = F.length(c) > 19
+    return day - F.make_dt_interval(F.lit(0), F.when(zoned, sign * part(1)).otherwise(0), F.when(zoned, sign * part(2)).otherwise(0), F.lit(0))
+
+
+def clean_metadata(members: dict[str, Column], kinds: dict[str, str]) -> Column:
+    """A map of texts: nulls and numbers that are NaN or infinite left out, lists, maps and structs as JSON text."""
+
+    def one(name: str, c: Column) -> Column:
+        kind = kinds.get(name, "string")
+        if kind.startswith(("array", "map", "struct")):
+            return F.to_json(c)
+        if kind in ("double", "float"):
+            return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c.cast("string"))
+        return c.cast("string")
+
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), one(k, c).alias("value")) for k, c in members.items()])
+    return F.map_from_entries(F.filter(pairs, lambda x: x["value"].isNotNull()))

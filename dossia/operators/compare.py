@@ -113,3 +113,11 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     """The first n rows of each key; order must end in a column that has no ties."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def weighted_mean(signals: dict[str, tuple[float, Column]], veto: Column, substantive: list[str], least: int, cap: float) -> Column:
+    """The mean of the signals that are there by their weights: 0 under a veto or without signals, at most `cap` where fewer than `least` of the substantive ones are there."""
+    present = lambda names: sum((F.when(signals[n][1].isNotNull(), signals[n][0] if names is signals else 1.0).otherwise(0.0) for n in names), F.lit(0.0))
+    total = present(signals)
+    mean = F.coalesce(sum((w * F.coalesce(c, F.lit(0.0)) for w, c in signals.values()), F.lit(0.0)) / F.nullif(total, F.lit(0.0)), F.lit(0.0))
+    return F.when(veto, 0.0).when(present(substantive) < least, F.least(mean, F.lit(cap))).otherwise(mean)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossia.session import materialize, parallelism
@@ -43,11 +43,16 @@ def _on_key(per_range: DataFrame, keys: list[str], *columns: str):
     return right, same
 
 
-def ranks_by(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
-    """df with the number of each row in its key by order, from 1: counted inside its range, plus what the ranges before it hold of the key."""
-    ranged = in_ranges(df, keys, order)
-    rows = ranged.withColumn("_no", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
-    counts = ranged.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
+def running_by(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the sum of value from the first row of its key by order up to each row: summed inside its range, plus what the ranges before it sum to."""
+    ranged = in_ranges(df.withColumn("_value", value), keys, order)
+    rows = ranged.withColumn("_run", F.sum("_value").over(Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = ranged.groupBy("_range", *keys).agg(F.sum("_value").alias("_n"))
     across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_off", F.sum("_n").over(across)).filter(F.col("_off").isNotNull())
-    return rows.join(*_on_key(before, keys, "_off"), "left").select(*df.columns, (F.col("_no") + F.coalesce("_off", F.lit(0))).cast("long").alias(name))
+    before = sums.withColumn("_off", F.sum("_n").over(across)).filter(F.col("_off").isNotNull())
+    return rows.join(*_on_key(before, keys, "_off"), "left").select(*df.columns, (F.coalesce("_run", F.lit(0)) + F.coalesce("_off", F.lit(0))).alias(name))
+
+
+def ranks_by(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """df with the number of each row in its key by order, from 1."""
+    return running_by(df, keys, order, F.lit(1).cast("long"), name)

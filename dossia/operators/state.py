@@ -52,3 +52,18 @@ def jaccard(a: Column, b: Column) -> Column:
     """Share of common elements of two sets; null where both are empty."""
     u = F.size(F.array_union(a, b))
     return F.when(u > 0, F.size(F.array_intersect(a, b)) / u)
+
+
+def orphans(groups: DataFrame, touched: DataFrame, key: str, decided: str) -> DataFrame:
+    """key, action: keep where a run touched the group; else flag it where it is decided, delete it where not."""
+    t = touched.select(key, F.lit(True).alias("_t")).distinct()
+    return groups.join(t, key, "left").select(key, F.when(F.col("_t"), "keep").when(F.col(decided), "flag").otherwise("delete").alias("action"))
+
+
+def absent(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `new` whose key is not in `known`; nulls are equal."""
+    k = known.select(*[F.col(c).alias(f"_k_{c}") for c in keys]).distinct()
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return new.join(k, same, "left_anti")

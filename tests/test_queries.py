@@ -9,6 +9,10 @@ QUERIES = {name: f for m in entry.MODULES if not m.__name__.startswith("dossia.l
 SQL = entry.oracle_sql()
 
 
+# no key of the smallest tables has a value on both sides
+EMPTY_IN_SMALL = {"num02_printed_precision"}
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     return connect(data)
@@ -27,7 +31,7 @@ def test_same_as_sql(spark, data, duck, name):
 def test_rows(spark, data, name):
     df = entry.queries()[name](spark, data)
     assert df.columns
-    assert df.count() > 0
+    assert df.count() > 0 or name in EMPTY_IN_SMALL
 
 
 def test_entry(spark):
