@@ -220,17 +220,18 @@ def num09_risk(spark, d):
 
 
 @query("""
-with q as (select embedding::double[] as e from embeddings where vec_id = 0), s as (select b.vec_id, list_cosine_similarity(b.embedding::double[], q.e) as s from embeddings b, q where b.vec_id <> 0)
-select vec_id, round(0.32 * s + 0.62 * (case when vec_id % 3 = 0 then 1 else 0 end), 5) as score from s
+with q as (select embedding::double[] as e from embeddings where vec_id = 0), s as (select b.vec_id, list_cosine_similarity(b.embedding::double[], q.e) as s from embeddings b, q where b.vec_id <> 0), t as (select doc_id, lower(coalesce(text, '')) as t from documents)
+select vec_id, round(0.32 * s + 0.62 * (contains(coalesce(t, ''), 'насос')::int + contains(coalesce(t, ''), 'чертеже')::int) / 2 + 1.2 * case when contains(coalesce(t, ''), 'на чертеже') then 0.2 else 0 end, 5) as score from s left join t on t.doc_id = s.vec_id
 """)
 def num12_hybrid_score(spark, d):
-    """A vector and a lexical signal in one score, every row against one query vector."""
+    """A vector and a lexical signal in one score: the vectors of texts and the words in them, every row against one query."""
     e = table(spark, d, "embeddings")
     one = e.filter("vec_id = 0").first()
     q = F.array(*[F.lit(float(x)) for x in one.embedding]) if one else F.lit(None).cast("array<double>")
-    s = vectors.cosine(F.col("embedding"), q)
-    lexical = F.when(F.col("vec_id") % 3 == 0, 1.0).otherwise(0.0)
-    return e.filter("vec_id <> 0").select("vec_id", F.round(vectors.hybrid_score(s, lexical, F.lit(0.0), F.lit(0.0)), 5).alias("score"))
+    j = e.filter("vec_id <> 0").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower("text").alias("t")), "vec_id", "left")
+    has = lambda w: F.coalesce(F.col("t").contains(w), F.lit(False)).cast("double")
+    score = vectors.hybrid_score(vectors.cosine(F.col("embedding"), q), (has("насос") + has("чертеже")) / 2, has("на чертеже") * 0.2, F.lit(0.0))
+    return j.select("vec_id", F.round(score, 5).alias("score"))
 
 
 @query("""

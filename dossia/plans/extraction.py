@@ -231,20 +231,21 @@ _TOKENS = "list_distinct(regexp_extract_all(lower(f.filename), '[0-9a-zа-я]+')
 
 @query(f"""
 with f as (select f.doc_id as id, f.building, f.extension, {_TOKENS} as title from {FACTS} f), s as (select document_version_id as id, list(distinct parameter_code) as labels from {O} group by 1),
-v as (select v.id, v.object_id, v.document_code, v.dataset_stage, v.discipline, f.building, f.extension, f.title, s.labels from {V} v join f on f.id = v.id left join s on s.id = v.id),
+l as (select id, successor_id from {V} where successor_id is not null), v as (select v.id, v.discipline, f.building, f.extension, f.title, s.labels from {V} v join f on f.id = v.id left join s on s.id = v.id),
 p as (select a.id as id_a, b.id as id_b, a.building is not null and b.building is not null and a.building <> b.building as veto, case when len(a.title) > 0 and len(b.title) > 0 then len(list_intersect(a.title, b.title))::double / len(list_distinct(list_concat(a.title, b.title))) end as title,
  case when len(a.labels) >= 8 and len(b.labels) >= 8 then len(list_intersect(a.labels, b.labels))::double / len(list_distinct(list_concat(a.labels, b.labels))) end as labels, case when a.discipline is not null and b.discipline is not null then (a.discipline = b.discipline)::int end as kind, case when a.extension is not null and b.extension is not null then (a.extension = b.extension)::int end as format
- from v a join v b on a.document_code = b.document_code and a.object_id = b.object_id and a.dataset_stage < b.dataset_stage),
+ from l join v a on a.id = l.id join v b on b.id = l.successor_id),
 q as (select *, (3.0 * coalesce(title, 0) + 2.0 * coalesce(labels, 0) + coalesce(kind, 0) + coalesce(format, 0)) / nullif(case when title is not null then 3.0 else 0 end + case when labels is not null then 2.0 else 0 end + case when kind is not null then 1.0 else 0 end + case when format is not null then 1.0 else 0 end, 0) as mean from p)
 select id_a, id_b, veto, round(case when veto then 0.0 when (title is not null)::int + (labels is not null)::int < 2 then least(coalesce(mean, 0), 0.45) else coalesce(mean, 0) end, 4) as confidence from q
 """)
 def join11_pair_score(spark, d):
-    """Pairs of versions scored by the weighted mean of the signals both sides have; another building is a veto, few signals a cap."""
+    """Versions and their successors scored by the weighted mean of the signals both have; another building is a veto, few signals a cap."""
     f = table(spark, d, "doc_facts").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "building", "extension", F.array_distinct(F.regexp_extract_all(F.lower("filename"), F.lit("[0-9a-zа-я]+"), F.lit(0))).alias("title"))
     s = observations(spark, d).groupBy(F.col("document_version_id").alias("id")).agg(F.collect_set("parameter_code").alias("labels"))
-    v = versions(spark, d).select("id", "object_id", "document_code", "dataset_stage", "discipline").join(f, "id").join(s, "id", "left")
-    side = lambda x: v.select("object_id", "document_code", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "dataset_stage", "discipline", "building", "extension", "title", "labels")])
-    p = side("a").join(side("b"), ["object_id", "document_code"]).filter("dataset_stage_a < dataset_stage_b")
+    v = versions(spark, d).select("id", "discipline").join(f, "id").join(s, "id", "left")
+    side = lambda x: v.select(*[F.col(c).alias(f"{c}_{x}") for c in v.columns])
+    links = versions(spark, d).filter("successor_id is not null").select(F.col("id").alias("id_a"), F.col("successor_id").alias("id_b"))
+    p = links.join(side("a"), "id_a").join(side("b"), "id_b")
     a, b = (lambda c: F.col(f"{c}_a")), (lambda c: F.col(f"{c}_b"))
     jaccard = lambda c: F.size(F.array_intersect(a(c), b(c))) / F.size(F.array_union(a(c), b(c)))
     signals = {
@@ -259,7 +260,7 @@ def join11_pair_score(spark, d):
 
 
 @query(f"""
-with o as (select v.object_id, o.* from {O} o join {V} v on v.id = o.document_version_id), e as (select object_id, parameter_code, arg_max(location, {{'c': coalesce(confidence, -1), 'i': observation_id}}) as place, max(observation_id) as k from o where stage = 'PD' group by 1, 2),
+with o as (select v.object_id, o.* from {O} o join {V} v on v.id = o.document_version_id), e as (select object_id, parameter_code, arg_max_null(location, {{'c': coalesce(confidence, -1), 'i': observation_id}}) as place, max(observation_id) as k from o where stage = 'PD' group by 1, 2),
 c as (select o.object_id, o.parameter_code, o.observation_id, o.normalized_value, row_number() over (partition by o.object_id, o.parameter_code order by (o.normalized_value is null)::int, (coalesce(o.location = e.place, false))::int desc, (coalesce(regexp_extract(o.location, '^([^0-9]+)', 1) = regexp_extract(e.place, '^([^0-9]+)', 1), false))::int desc, coalesce(o.confidence, -1) desc, o.observation_id) as rn from o join e using (object_id, parameter_code) where o.stage = 'RD')
 select object_id, parameter_code, max(observation_id) filter (where rn = 1) as observation_id, least(count(distinct normalized_value) filter (where normalized_value is not null), 6)::int as n_values from c group by 1, 2
 """)

@@ -387,16 +387,16 @@ def join12_components(spark, d):
 
 
 @query(f"""
-with o as (select v.document_code, o.parameter_code, o.normalized_value, o.stage = 'PD' as l from {O} o join {V} v on v.id = o.document_version_id where v.document_code is not null and o.normalized_value is not null and o.stage is not null)
-select document_code, sum(least(a, b))::bigint as matched from (select document_code, parameter_code, normalized_value, count(*) filter (where l) as a, count(*) filter (where not l) as b from o group by 1, 2, 3) where least(a, b) > 0 group by 1
+with o as (select v.object_id, o.parameter_code, o.normalized_value, o.stage = 'PD' as l from {O} o join {V} v on v.id = o.document_version_id where v.object_id is not null and o.normalized_value is not null and o.stage is not null)
+select object_id, sum(least(a, b))::bigint as matched from (select object_id, parameter_code, normalized_value, count(*) filter (where l) as a, count(*) filter (where not l) as b from o group by 1, 2, 3) where least(a, b) > 0 group by 1
 """)
 def join13_equal_matching(spark, d):
-    """The largest one-to-one matching on equal parameter and value, by document code: nodes that are equal are one class, of which the smaller side is matched."""
-    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "document_code").filter("document_code is not null")
+    """The largest one-to-one matching on equal parameter and value, by object: nodes that are equal are one class, of which the smaller side is matched."""
+    v = versions(spark, d).select(F.col("id").alias("document_version_id"), "object_id").filter("object_id is not null")
     o = observations(spark, d).join(v, "document_version_id").filter("normalized_value is not null and stage is not null")
     left = F.col("stage") == "PD"
-    g = o.groupBy("document_code", "parameter_code", "normalized_value").agg(F.least(F.count_if(left), F.count_if(~left)).alias("n")).filter("n > 0")
-    return g.groupBy("document_code").agg(F.sum("n").alias("matched"))
+    g = o.groupBy("object_id", "parameter_code", "normalized_value").agg(F.least(F.count_if(left), F.count_if(~left)).alias("n")).filter("n > 0")
+    return g.groupBy("object_id").agg(F.sum("n").alias("matched"))
 
 
 @query()
@@ -445,13 +445,26 @@ def join17_outer_top1(spark, d):
 
 
 @query(f"""
-select a.document_code, a.id as id_a, b.id as id_b from {V} a join {V} b on a.document_code = b.document_code and a.object_id = b.object_id and a.dataset_stage < b.dataset_stage
+with c as (select object_id, discipline, dataset_stage, min(id) as id, count(*) as n from {V} where object_id is not null and discipline is not null group by 1, 2, 3)
+select a.object_id, a.discipline, a.id as id_a, a.n as n_a, b.id as id_b, b.n as n_b from c a join c b on a.object_id = b.object_id and a.discipline = b.discipline and a.dataset_stage < b.dataset_stage
 """)
 def join18_stage_pairs(spark, d):
-    """Versions of one document in different stages."""
-    v = versions(spark, d).select("document_code", "object_id", "dataset_stage", "id")
-    a, b = v.withColumnsRenamed({"id": "id_a", "dataset_stage": "sa"}), v.withColumnsRenamed({"id": "id_b", "dataset_stage": "sb"})
-    return a.join(b, ["document_code", "object_id"]).filter("sa < sb").select("document_code", "id_a", "id_b")
+    """Documents of one object and discipline in different stages: pairs of the representatives of each stage, with how many each stands for (join18_members)."""
+    c = versions(spark, d).filter("object_id is not null and discipline is not null").groupBy("object_id", "discipline", "dataset_stage").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    a, b = c.withColumnsRenamed({"id": "id_a", "n": "n_a", "dataset_stage": "sa"}), c.withColumnsRenamed({"id": "id_b", "n": "n_b", "dataset_stage": "sb"})
+    return a.join(b, ["object_id", "discipline"]).filter("sa < sb").select("object_id", "discipline", "id_a", "n_a", "id_b", "n_b")
+
+
+@query(f"select id, min(id) over (partition by object_id, discipline, dataset_stage) as representative from {V} where object_id is not null and discipline is not null")
+def join18_members(spark, d):
+    """Each document with the one that stands for it in join18_stage_pairs."""
+    v = versions(spark, d).filter("object_id is not null and discipline is not null").select("object_id", "discipline", "dataset_stage", "id")
+    keys = ["object_id", "discipline", "dataset_stage"]
+    r = v.groupBy(*keys).agg(F.min("id").alias("representative"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & v[k].eqNullSafe(r[k])
+    return v.join(r, same).select("id", "representative")
 
 
 @query(f"select id, min(id) over (partition by content_hash) as first_id from {V} where content_hash is not null")
@@ -696,12 +709,12 @@ def set04_version_diff(spark, d):
 
 
 @query(f"""
-select parameter_code, location, normalized_value, max(confidence) as confidence, count(*) as n, list_sort(list(distinct document_version_id)) as docs from {O} where location is not null and normalized_value is not null group by 1, 2, 3 having count(*) > 1
+select parameter_code, stage, normalized_value, max(confidence) as confidence, count(*) as n, list_sort(list(distinct document_version_id)) as docs from {O} where normalized_value is not null group by 1, 2, 3 having count(*) > 1
 """)
 def set05_merge_duplicates(spark, d):
     """Findings with one key merged: best confidence, all evidence."""
-    o = observations(spark, d).filter("location is not null and normalized_value is not null")
-    return o.groupBy("parameter_code", "location", "normalized_value").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.array_sort(F.collect_set("document_version_id")).alias("docs")).filter("n > 1")
+    o = observations(spark, d).filter("normalized_value is not null")
+    return o.groupBy("parameter_code", "stage", "normalized_value").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"), F.array_sort(F.collect_set("document_version_id")).alias("docs")).filter("n > 1")
 
 
 @query(f"select 'version' as kind, id, document_code as name from {V} union all select 'file', doc_id, filename from {_F}")

@@ -152,3 +152,18 @@ def test_empty_tables(spark):
     assert found(spark, []) == set()
     assert found(spark, [(1, "A", "1 м", "1", None, None)], par=[]) == set()
     assert found(spark, [(1, "A", "1 м", "1 м", None, None)], rul=[]) == set()
+
+
+def test_conversions_come_back_from_links_without_the_table(spark, data, monkeypatch):
+    """With one spelling a dimension left in the table, all others are converted by their links."""
+    import os
+
+    folder = os.path.join(os.path.dirname(data), "sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("the links of the smallest tables are too few")
+    o, p = spark.read.parquet(f"{folder}/rule_observations.parquet"), spark.read.parquet(f"{folder}/matrix_params.parquet")
+    full = {r.observation_id: r.value_std for r in U.to_parameter_units(o, p)[0].collect() if r.value_std is not None}
+    monkeypatch.setattr(U, "KNOWN_UNITS", {d: {next(iter(g)): 1} for d, g in U.KNOWN_UNITS.items()})
+    cut = {r.observation_id: r.value_std for r in U.to_parameter_units(o, p)[0].collect() if r.value_std is not None}
+    same = sum(k in cut and abs(cut[k] - v) <= 1e-3 * abs(v) + 1e-9 for k, v in full.items())
+    assert same >= 0.99 * len(full) and len(cut) >= 0.99 * len(full)
