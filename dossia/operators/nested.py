@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossia.session import materialize
@@ -134,14 +134,28 @@ def plan_tables(edges: list[tuple[str, str, str, int, int]], alike: float = 0.5,
     return table
 
 
-ROWS = "_id long, table string, element string, row_no long, parent_table string, parent_no long, family_no long, parent_family_no long, names array<string>, vals array<string>"
+ROWS = "_id long, table string, element string, row_no long, parent_table string, parent_no long, family_no long, parent_family_no long"
 
 
-def _shred(table: dict[str, str], family: frozenset[str], only: frozenset[str] | None):
+def near_member(names: list[str], vals: list[str | None], name: str, depth: int) -> str | None:
+    """The first non-null member `name` of a row: its own, else one inlined at most `depth` objects below."""
+    end, best = f".{name}", None
+    for n, v in zip(names, vals):
+        if v is not None:
+            if n == name:
+                return v
+            if best is None and n.endswith(end) and n.count(".") <= depth:
+                best = v
+    return best
+
+
+def _shred(table: dict[str, str], family: frozenset[str], only: frozenset[str] | None, members: tuple[tuple[str, int], ...]):
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("_id", pa.int64()), ("table", pa.string()), ("element", pa.string()), ("row_no", pa.int64()), ("parent_table", pa.string()), ("parent_no", pa.int64()), ("family_no", pa.int64()), ("parent_family_no", pa.int64()), ("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))])
+        fields = [("_id", pa.int64()), ("table", pa.string()), ("element", pa.string()), ("row_no", pa.int64()), ("parent_table", pa.string()), ("parent_no", pa.int64()), ("family_no", pa.int64()), ("parent_family_no", pa.int64())]
+        fields += [(m, pa.string()) for m, _ in members] or [("names", pa.list_(pa.string())), ("vals", pa.list_(pa.string()))]
+        schema = pa.schema(fields)
         for b in batches:
             out: list[tuple] = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -149,7 +163,7 @@ def _shred(table: dict[str, str], family: frozenset[str], only: frozenset[str] |
                 if not isinstance(top, (dict, list)):
                     continue
                 numbers: dict[str, int] = {}
-                members = 0
+                count = 0
 
                 def new_row(own: str, name: str, holder: tuple, no: int | None) -> tuple:
                     """A row of a table: (table, number, family number, names, values)."""
@@ -177,7 +191,7 @@ def _shred(table: dict[str, str], family: frozenset[str], only: frozenset[str] |
                     if row is None or own is not None:
                         no = None
                         if row is not None and name in family:
-                            no, members = members, members + 1
+                            no, count = count, count + 1
                         row, path = new_row(own or ROOT if row is not None else ROOT, name, holder, no), ""
                     deeper = []
                     for k, v in node.items():
@@ -188,15 +202,22 @@ def _shred(table: dict[str, str], family: frozenset[str], only: frozenset[str] |
                             row[3].append(path + k)
                             row[4].append(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False))
                     stack.extend(reversed(deeper))
+            if members:
+                out = [(*r[:8], *[near_member(r[8], r[9], m, depth) for m, depth in members]) for r in out]
             cols = list(zip(*out)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def shred(records: DataFrame, id_col: str, json_col: str, table: dict[str, str], family: tuple[str, ...] = (), only: frozenset[str] | None = None) -> DataFrame:
-    """One row per row of every flat table (or those of `only`): key, table, element, number in the table, parent row, number among the elements of `family` and that of the parent, names and vals (inlined members by path)."""
-    return records.select(F.col(id_col).cast("long"), json_col).mapInArrow(_shred(table, frozenset(family), only), ROWS)
+def shred(records: DataFrame, id_col: str, json_col: str, table: dict[str, str], family: tuple[str, ...] = (), only: frozenset[str] | None = None, members: dict[str, int] | None = None) -> DataFrame:
+    """One row per row of every flat table (or those of `only`): key, table, element, number in the table, parent row, number among the elements of `family` and that of the parent.
+
+    Then names and vals (inlined members by path), or with `members` (name: how many objects below it may stand) just those, as text.
+    """
+    members = members or {}
+    schema = ROWS + (", names array<string>, vals array<string>" if not members else "".join(f", `{m}` string" for m in members))
+    return records.select(F.col(id_col).cast("long"), json_col).mapInArrow(_shred(table, frozenset(family), only, tuple(members.items())), schema)
 
 
 def schema_edges(records: DataFrame, json_col: str) -> list[tuple[str, str, str, int, int]]:
@@ -246,19 +267,11 @@ def flat_tables(records: DataFrame, id_col: str, json_col: str) -> dict[str, Dat
     return out
 
 
-def inline_tables(records: DataFrame, id_col: str, json_col: str, family: tuple[str, ...] = (), only: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def inline_tables(records: DataFrame, id_col: str, json_col: str, family: tuple[str, ...] = (), only: tuple[str, ...] | None = None, members: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The shredded rows (of the tables of the elements `only`) and the table of each element."""
     table = plan_tables(schema_edges(records, json_col), always=family)
     wanted = None if only is None else frozenset(table.get(e, e) for e in only)
-    return shred(records, id_col, json_col, table, family, wanted), table
-
-
-def member(name: str, depth: int = 1) -> Column:
-    """The first non-null member `name` of a flat row: its own, else one inlined at most `depth` objects below."""
-    pairs = F.arrays_zip(F.col("names"), F.col("vals"))
-    own = F.filter(pairs, lambda p: (p["names"] == name) & p["vals"].isNotNull())
-    near = F.filter(pairs, lambda p: p["names"].endswith("." + name) & (F.size(F.split(p["names"], r"\.")) <= depth + 1) & p["vals"].isNotNull())
-    return F.coalesce(F.get(own, F.lit(0))["vals"], F.get(near, F.lit(0))["vals"])
+    return shred(records, id_col, json_col, table, family, wanted, members), table
 
 
 # What says yes and no.
@@ -271,18 +284,18 @@ ATTEMPTS = ("attempts", "retries")
 
 def attempts_table(logs: DataFrame) -> DataFrame:
     """log_id, attempt_no, parent_no (-1 where it is no retry), code string, pages_scanned bigint, found boolean, location, stage string."""
-    rows, _ = inline_tables(logs, "log_id", "details", ATTEMPTS, ATTEMPTS)
+    rows, _ = inline_tables(logs, "log_id", "details", ATTEMPTS, ATTEMPTS, {"code": 0, "pages_scanned": 1, "found": 1, "location": 0, "stage": 0})
     a = rows.filter(F.col("family_no").isNotNull() & ((F.col("element") == "attempts") | F.col("parent_family_no").isNotNull()))
-    flag = F.lower(F.trim(member("found")))
+    flag = F.lower(F.trim("found"))
     return a.select(
         F.col("_id").alias("log_id"),
         F.col("family_no").alias("attempt_no"),
         F.when((F.col("element") == "retries") & F.col("parent_family_no").isNotNull(), F.col("parent_family_no")).otherwise(F.lit(-1).cast("long")).alias("parent_no"),
-        member("code", 0).alias("code"),
-        F.floor(F.trim(member("pages_scanned")).try_cast("double")).cast("long").alias("pages_scanned"),
+        "code",
+        F.floor(F.trim("pages_scanned").try_cast("double")).cast("long").alias("pages_scanned"),
         F.when(flag.isin(YES), True).when(flag.isin(NO), False).alias("found"),
-        member("location", 0).alias("location"),
-        member("stage", 0).alias("stage"),
+        "location",
+        "stage",
     )
 
 
@@ -293,8 +306,8 @@ def attempt_cases(logs: DataFrame) -> DataFrame:
 
 def log_table(logs: DataFrame) -> DataFrame:
     """log_id with the inlined members of the record itself: status, note, run_no and the number of attempts."""
-    rows, _ = inline_tables(logs, "log_id", "details", ATTEMPTS, (ROOT, *ATTEMPTS))
-    one = rows.filter(F.col("row_no").isNotNull()).groupBy(F.col("_id").alias("log_id"))
+    rows, _ = inline_tables(logs, "log_id", "details", ATTEMPTS, (ROOT, *ATTEMPTS), {"status": 0, "note": 0, "run_no": 1})
+    one = rows.groupBy(F.col("_id").alias("log_id"))
     first = lambda c: F.max(F.when(F.col("table") == ROOT, c))
     number = F.when(F.col("family_no").isNotNull() & ((F.col("element") == "attempts") | F.col("parent_family_no").isNotNull()), F.col("family_no"))
-    return one.agg(first(member("status", 0)).alias("status"), first(member("note", 0)).alias("note"), first(member("run_no").try_cast("long")).alias("run_no"), F.count_distinct(number).alias("n_attempts"))
+    return one.agg(first(F.col("status")).alias("status"), first(F.col("note")).alias("note"), first(F.col("run_no").try_cast("long")).alias("run_no"), F.count_distinct(number).alias("n_attempts"))
