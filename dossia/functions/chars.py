@@ -35,14 +35,14 @@ def plain_py(s: str) -> str:
 
 _PLAIN = {ord(a): b for a, b in zip(FULL_WIDTH + BLANKS, FULL_WIDTH_ASCII + " " * len(BLANKS))} | {ord(c): None for c in INVISIBLE}
 
-_FOLD_FROM = LATIN_LOOKS + "ΑΒΕΗΚΜΟΡΤΧορ" + "²³"
-_FOLD_TO = CYRILLIC_LOOKS + "АВЕНКМОРТХор" + "23"
+FOLD_FROM = LATIN_LOOKS + "ΑΒΕΗΚΜΟΡΤΧορ" + "²³"
+FOLD_TO = CYRILLIC_LOOKS + "АВЕНКМОРТХор" + "23"
 
 
 def fold_looks(c: Column) -> Column:
     """Lower case with look-alike letters of Latin and Greek as Cyrillic and raised 2, 3 as digits; for comparing keys only."""
-    return F.lower(F.translate(c, _FOLD_FROM, _FOLD_TO))
+    return F.lower(F.translate(c, FOLD_FROM, FOLD_TO))
 
 
 def fold_looks_py(s: str) -> str:
-    return s.translate(str.maketrans(_FOLD_FROM, _FOLD_TO)).lower()
+    return s.translate(str.maketrans(FOLD_FROM, FOLD_TO)).lower()

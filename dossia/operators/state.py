@@ -67,3 +67,12 @@ def absent(new: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     return new.join(k, same, "left_anti")
+
+
+def stored(old: DataFrame, new: DataFrame, key: str, value: str, reviewed: str) -> DataFrame:
+    """key, value, reviewed after a new run: reviewed rows and those it does not know stay, others take its value, what is new is added unreviewed."""
+    o = old.select(key, F.col(value).alias("_ov"), F.coalesce(F.col(reviewed), F.lit(False)).alias("_or"))
+    n = new.select(key, F.col(value).alias("_nv"), F.lit(True).alias("_n"))
+    j = o.join(n, key, "full_outer")
+    kept = F.coalesce("_or", F.lit(False)) | F.col("_n").isNull()
+    return j.select(key, F.when(kept, F.col("_ov")).otherwise(F.col("_nv")).alias(value), F.coalesce("_or", F.lit(False)).alias(reviewed))
