@@ -68,14 +68,14 @@ def _sketch(value) -> int:
     return xxh3_64_intdigest(_canon(value).encode("utf-8", "surrogatepass")) >> 1 or 1
 
 
-FIELDS = "array<struct<name:string,kind:string,objects:array<long>,marks:array<long>>>"
+FIELDS = "array<struct<name:string,kind:string,kinds:array<string>,objects:array<long>,marks:array<long>>>"
 
 
 def _profile(batches):
     import pyarrow as pa
     from xxhash import xxh3_64_intdigest
 
-    field = pa.struct([("name", pa.string()), ("kind", pa.string()), ("objects", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
+    field = pa.struct([("name", pa.string()), ("kind", pa.string()), ("kinds", pa.list_(pa.string())), ("objects", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
     for b in batches:
         profiles = []
         for payload in b.column(b.schema.get_field_index("payload")).to_pylist():
@@ -92,7 +92,7 @@ def _profile(batches):
                         f["kinds"][kind] = f["kinds"].get(kind, 0) + 1
                         if obj is not None:
                             f["vals"][obj] = _sketch(v)
-            profiles.append([{"name": k, "kind": min(f["kinds"], key=lambda x: (-f["kinds"][x], x)) if f["kinds"] else None, "objects": list(f["vals"]), "marks": list(f["vals"].values())} for k, f in sorted(by.items())])
+            profiles.append([{"name": k, "kind": min(f["kinds"], key=lambda x: (-f["kinds"][x], x)) if f["kinds"] else None, "kinds": sorted(f["kinds"]), "objects": list(f["vals"]), "marks": list(f["vals"].values())} for k, f in sorted(by.items())])
         keep = [b.column(i) for i, n in enumerate(b.schema.names) if n != "payload"]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(profiles, pa.list_(field))], names=[n for n in b.schema.names if n != "payload"] + ["fields"])
 
@@ -226,9 +226,9 @@ def latest_names(profiles: DataFrame) -> DataFrame:
     return names.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "name"))).alias("names"))
 
 
-def _named(files: DataFrame) -> DataFrame:
+def _named(files: DataFrame, profiles: DataFrame) -> DataFrame:
     one = files.select("file_id", "suite_id", "written_at", "payload").dropDuplicates(["file_id"])
-    return one.join(latest_names(materialize(profile_files(files))), "file_id", "left").select("file_id", "suite_id", "written_at", "payload", "names")
+    return one.join(latest_names(profiles), "file_id", "left").select("file_id", "suite_id", "written_at", "payload", "names")
 
 
 CELLS = "file_id long, suite_id string, written_at timestamp_ntz, record_no long, object_id string, field_name string, column_name string, value string, kind string"
@@ -257,13 +257,12 @@ def _text(value) -> str | None:
 
 def unify(files: DataFrame) -> DataFrame:
     """Every value of every record in one long table; column_name is the latest name of the field in its suite."""
-    return _named(files).mapInArrow(_cells, CELLS)
+    return _named(files, materialize(profile_files(files))).mapInArrow(_cells, CELLS)
 
 
-def columns_of(cells: DataFrame, most: int = 5_000) -> list[tuple[str, str]]:
-    """(column, type) of the wide table: double where all values are numbers, boolean where all are, else string; refuses more than `most` columns."""
-    kinds = cells.filter(F.col("kind").isNotNull()).groupBy("column_name").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
-    named = cells.select("column_name").distinct().join(kinds, "column_name", "left").limit(most + 1).collect()
+def columns_of(kinds: DataFrame, most: int = 5_000) -> list[tuple[str, str]]:
+    """(column, type) of the wide table from column_name, kind (null for none): double where all values are numbers, boolean where all are, else string; refuses more than `most` columns."""
+    named = kinds.groupBy("column_name").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi")).limit(most + 1).collect()
     if len(named) > most:
         raise ValueError("too many fields for one table")
     of = {"number": "double", "boolean": "boolean"}
@@ -304,8 +303,10 @@ def unified_table(files: DataFrame) -> DataFrame:
 
     A field named like another one but for case, or like one of the first columns, gets a number behind its name.
     """
-    named = materialize(_named(files))
-    columns = columns_of(named.mapInArrow(_cells, CELLS))
+    profiles = materialize(profile_files(files))
+    named = materialize(_named(files, profiles))
+    fields = profiles.join(named.select("file_id", "names"), "file_id").select("names", F.explode("fields").alias("f"))
+    columns = columns_of(fields.select(F.coalesce(F.col("names")[F.col("f.name")], F.col("f.name")).alias("column_name"), F.explode_outer("f.kinds").alias("kind")))
     out = named.mapInArrow(_rows(columns), "file_id long, suite_id string, written_at timestamp_ntz, record_no long, object_id string" + "".join(f", c{i} {t}" for i, (_, t) in enumerate(columns)))
     taken, titles = {"file_id", "suite_id", "written_at", "record_no", "object_id"}, []
     for c, _ in columns:
