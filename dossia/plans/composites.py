@@ -417,7 +417,7 @@ def ent01_resolution(spark, d):
     return entities.resolve(drafts, known)
 
 
-@query()
+@query(f"select content_hash, document_code, id from {V}")
 def sort05_content_order(spark, d):
     """An order made of content only: hash, name, then id as the last resort."""
     return versions(spark, d).select("content_hash", "document_code", "id").orderBy(F.col("content_hash").asc_nulls_last(), F.col("document_code").asc_nulls_last(), "id")

@@ -70,7 +70,11 @@ def str04_tokens(spark, d):
     return table(spark, d, "matrix_params").dropDuplicates(["code"]).select("code", F.explode(T.tokens(F.col("parameter_name"))).alias("token")).withColumn("n", F.lit(1))
 
 
-@query()
+@query(f"""
+with t as (select code, regexp_extract_all({_NORM.format(c='parameter_name')}, '[0-9a-zа-я]+(?:[-_/.][0-9a-zа-я]+)*') as r from (select distinct on (code) * from matrix_params)),
+w as (select code, list_filter(list_filter(r, lambda x, i: list_position(r, x) = i), lambda x: length(x) >= 2 and x not in ({_STOP})) as w from t)
+select code, unnest(flatten(list_transform([4, 3, 2], lambda n: list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))))) as phrase from w
+""")
 def str04_ngrams(spark, d):
     """Phrases of four to two words."""
     return table(spark, d, "matrix_params").dropDuplicates(["code"]).select("code", F.explode(T.ngrams(T.tokens(F.col("parameter_name")))).alias("phrase"))
@@ -120,7 +124,9 @@ def str17_key_form(spark, d):
     return versions(spark, d).filter("document_code is not null").select("id", T.key_form(F.col("document_code")).alias("key"))
 
 
-@query()
+@query(f"""
+select document_code, array_to_string(list_transform(regexp_extract_all(lower(document_code), '[0-9]+|[^0-9]+'), lambda p: case when regexp_full_match(p, '[0-9]+') then lpad(regexp_replace(p, '^0+([0-9])', '\\1'), 20, '0') else p end), '') as sort_key from (select distinct document_code from {V} where document_code is not null)
+""")
 def sort04_natural(spark, d):
     """Codes in an order in which their numbers compare as numbers."""
     v = versions(spark, d).filter("document_code is not null").select("document_code").distinct()
@@ -302,6 +308,23 @@ def job03_retries(spark, d):
     return S.attempts_batch(e, "user_id", "ts", "bad")
 
 
+_RETRIES = """
+with e as (select user_id, event_type = 'error' as bad, ts, event_id from events where event_type in ('error', 'purchase')), s as (select *, coalesce(sum(bad::int) over w, 0) as nb, coalesce(sum((not bad)::int) over w, 0) as ng from e window w as (partition by user_id order by ts rows between unbounded preceding and 1 preceding))
+select user_id, count(*)::int as n_attempts, sum(bad::int)::int as n_failed, case when sum(bad::int) < count(*) then 'DONE' when sum(bad::int) >= 3 then 'FAILED' else 'PENDING' end as status from s where ng = 0 and nb < 3 group by 1
+"""
+
+
+@query(_RETRIES)
+def job03_stream_retries(spark, d):
+    """The same by a stream that keeps the state of each key; the last batch of a key counts."""
+
+    def plan(s: DataFrame) -> DataFrame:
+        return S.attempts(s.filter("event_type in ('error', 'purchase')").select("user_id", "ts", (F.col("event_type") == "error").alias("bad")), "user_id", "ts", "bad")
+
+    r = S.run_stream(spark, f"{d}/events.parquet", plan, "update")
+    return r.groupBy("user_id").agg(F.max_by(F.struct("n_attempts", "n_failed", "status"), "batch").alias("r")).select("user_id", "r.*")
+
+
 @query(f"""
 with f as (select v.object_id, o.parameter_code, o.location, o.observation_id, o.normalized_value, row_number() over (partition by v.object_id order by o.parameter_code nulls first, o.location nulls first, o.observation_id) - 1 as no from {O} o join {V} v on v.id = o.document_version_id where o.confidence < 0.55)
 select object_id, (no // 1000)::int as part, count(*) as n_checks, string_agg(coalesce(parameter_code, '') || '|' || coalesce(location, '') || '|' || observation_id || '|' || coalesce(normalized_value, ''), chr(10) order by no) as checks from f group by 1, 2

@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dossia.session import shared_dir
 
@@ -69,7 +70,7 @@ def attempts_batch(df: DataFrame, key: str, ts: str, failed: str, most: int = 3)
 
 
 def run_stream(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append", files_per_batch: int = 4) -> DataFrame:
-    """The result of a plan over a folder or file of parquet read as a stream, run until all is read, as a static table in the shared folder."""
+    """The result of a plan over a folder or file of parquet read as a stream, run until all is read, as a static table in the shared folder; in mode update with the number of the batch each row is of."""
     static = spark.read.parquet(path)
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     reader = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", files_per_batch)
@@ -78,6 +79,10 @@ def run_stream(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataF
         reader, path = reader.option("pathGlobFilter", at.getName()), str(at.getParent())
     stream = reader.parquet(path)
     out = plan(stream)
+    if mode == "update":  # files take no updates: each batch is written under its number, a batch run again replaces itself
+        q = out.writeStream.outputMode(mode).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{base}/out/b{i}")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.read.schema(StructType([*out.schema.fields, StructField("batch", LongType())])).parquet(f"{base}/out/b*")
     q = out.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")

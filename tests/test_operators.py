@@ -200,3 +200,18 @@ def test_keyed_compare_drops_repeated_keys(spark):
     a = spark.createDataFrame([("k", 1.0), ("d", 1.0), ("d", 2.0), ("n", None)], "key string, v double")
     b = spark.createDataFrame([("k", 1.005), ("d", 1.0), ("n", 1.0), ("x", 1.0)], "key string, v double")
     assert {r.key: r.status for r in C.keyed_compare(a, b, ["key"], "v").collect()} == {"k": "equal", "d": "only_right", "n": "unknown", "x": "only_right"}
+
+
+def test_medians_of_hot_groups(spark):
+    import statistics as st
+
+    from dossia.operators.statistics import medians
+
+    rng = random.Random(7)
+    rows = [("hot" if i % 3 else f"k{i % 40}", float(rng.randint(0, 50)) if i % 13 else None, i) for i in range(2000)] + [("one", 5.0, 1), ("none", None, 1)]
+    got = {r.k: (r.n, r.m) for r in medians(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", "m").collect()}
+    own = {}
+    for k, v, _ in rows:
+        if v is not None:
+            own.setdefault(k, []).append(v)
+    assert got == {k: (len(v), st.median(v)) for k, v in own.items()}
