@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossia.functions.text import word_distance
 from dossia.operators.ordered import ranks_by
 from dossia.operators.units import small
+from dossia.session import materialize
 
 Z95 = 1.959963984540054
 
@@ -23,9 +24,10 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
 
 def mad_outliers(df: DataFrame, keys: list[str], value: str, least: int = 6, z: float = 4.5, spread: float = 0.5) -> DataFrame:
     """Rows of groups of `least` and more that are z robust deviations (1.4826 times the median distance) and `spread` of the median away from it; none where the median or that distance is 0 or less."""
-    med = medians(df, keys, value, "med").filter(F.col("n") >= least)
+    df = materialize(df)  # read several times
+    med = materialize(medians(df, keys, value, "med").filter(F.col("n") >= least))
     dev = df.join(small(med), keys).withColumn("dev", F.abs(F.col(value) - F.col("med")))
-    mad = medians(dev.select(*keys, "dev"), keys, "dev", "mad").drop("n")
+    mad = materialize(medians(dev.select(*keys, "dev"), keys, "dev", "mad").drop("n"))
     out = dev.join(small(mad), keys).withColumn("z", F.when(F.col("mad") > 0, F.col("dev") / (F.col("mad") * 1.4826)))
     return out.filter((F.col("z") >= z) & (F.col("med") > 0) & (F.col("dev") >= spread * F.col("med")))
 
@@ -33,7 +35,7 @@ def mad_outliers(df: DataFrame, keys: list[str], value: str, least: int = 6, z:
 def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """keys, n, name: the exact median of each group's values; ranked by ranges, so that no task holds a hot group."""
     v = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    n = v.groupBy(*keys).agg(F.count("*").alias("n"))
+    n = materialize(v.groupBy(*keys).agg(F.count("*").alias("n")))
     ranked = ranks_by(v, keys, ["_v"], "_r").join(small(n), keys)
     middle = ranked.filter((F.col("_r") == F.floor((F.col("n") + 1) / 2)) | (F.col("_r") == F.ceil((F.col("n") + 1) / 2)))
     return middle.groupBy(*keys).agg(F.first("n").alias("n"), F.avg("_v").alias(name))
