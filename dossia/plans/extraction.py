@@ -208,6 +208,22 @@ def doc14_nearest_label(spark, d):
     return layout.nearest_in_window(o.filter("extractor = 'rule_pack'"), o.filter("extractor <> 'rule_pack'"), ["doc", "sheet"], 0.3, 0.3, 0.1).select(F.col("mark").alias("system_id"), F.col("label").alias("room_id"), F.round("distance", 6).alias("distance"), "is_ambiguous")
 
 
+@query(f"""
+with c as (select document_version_id as doc, page // 20 as sheet, observation_id as id, extractor, bbox_normalized as b from {O} where bbox_normalized is not null), p as (select doc, sheet, id, (b[1] + b[3]) / 2 as x, (b[2] + b[4]) / 2 as y from c where extractor <> 'table_cell'), z as (select * from c where extractor = 'table_cell'),
+k as (select p.id as mark_id, z.id as zone_id, row_number() over (partition by p.id order by round((z.b[3] - z.b[1]) * (z.b[4] - z.b[2]), 9), z.id) as rn, count(*) over (partition by p.id) as n_zones from p join z using (doc, sheet) where p.x >= z.b[1] and p.x <= z.b[3] and p.y >= z.b[2] and p.y <= z.b[4])
+select mark_id, zone_id, n_zones from k where rn = 1
+""")
+def doc16_zones(spark, d):
+    """The least zone of its sheet in which the centre of each mark lies; zones and marks meet on their sheet."""
+    b = lambda i: F.get("bbox_normalized", F.lit(i))
+    c = observations(spark, d).filter("bbox_normalized is not null").select(F.col("document_version_id").alias("doc"), F.floor(F.col("page") / 20).alias("sheet"), F.col("observation_id").alias("id"), "extractor", *[b(i).alias(f"b{i}") for i in range(4)])
+    marks = c.filter("extractor <> 'table_cell'").select("doc", "sheet", F.col("id").alias("mark_id"), ((F.col("b0") + F.col("b2")) / 2).alias("x"), ((F.col("b1") + F.col("b3")) / 2).alias("y"))
+    zones = c.filter("extractor = 'table_cell'").select("doc", "sheet", F.col("id").alias("zone_id"), "b0", "b1", "b2", "b3")
+    inside = marks.join(zones, ["doc", "sheet"]).filter("x >= b0 and x <= b2 and y >= b1 and y <= b3")
+    size = F.round((F.col("b2") - F.col("b0")) * (F.col("b3") - F.col("b1")), 9)
+    return inside.groupBy("mark_id").agg(F.min(F.struct(size.alias("size"), "zone_id")).alias("z"), F.count("*").alias("n_zones")).select("mark_id", "z.zone_id", "n_zones")
+
+
 @query(f"""
 select page_id, list_filter([case when mean_conf < 55 then 'LOW_CONFIDENCE' end, case when coalesce(length(trim(text)), 0) = 0 then 'NO_TEXT' end, case when page_number < 1 then 'PAGE_OUT_OF_RANGE' end, case when length(text) < 200 then 'LITTLE_TEXT' end, case when lang = 'eng' and regexp_matches(text, '[а-яА-Я]') then 'WRONG_LANGUAGE' end], lambda x: x is not null) as reasons from {P}
 """)
